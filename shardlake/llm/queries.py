@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
+from .sharding import op4_sharding
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_sharding": op4_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL}
