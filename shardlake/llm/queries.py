@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
+from .mixing import op9_mixing
 from .sharding import op4_sharding
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL}
