@@ -6,11 +6,13 @@ from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
 from .mixing import op9_mixing
 from .sharding import op4_sharding
+from .simhash import op6_simhash
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
+    "op6_simhash": op6_simhash,
     "op9_mixing": op9_mixing,
 }
 
