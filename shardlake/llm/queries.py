@@ -5,6 +5,7 @@ from __future__ import annotations
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
 from .mixing import op9_mixing
+from .quality import op10_quality
 from .sharding import op4_sharding
 from .simhash import op6_simhash
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL}
