@@ -6,6 +6,7 @@ from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
 from .mixing import op9_mixing
 from .quality import op10_quality
+from .sentencepiece import op7_sentencepiece
 from .sharding import op4_sharding
 from .simhash import op6_simhash
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
