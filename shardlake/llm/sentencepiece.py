@@ -14,7 +14,6 @@ import importlib.util
 import re
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a worker remembers, before it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Characters of a chunk whose search needs no window.
+SHORT = 64
 #: Pairs of pieces of which a worker remembers whether merging leaves them.
 REMEMBERED_PAIRS = 1_000_000
 #: Rows that are encoded into one batch.
@@ -74,13 +75,6 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
-@dataclass
-class _Node:
-    next: dict
-    id: int = -1
-    score: float = 0.0
-
-
 class PieceModel:
     """Pieces with scores, and the rules by which a text is normalised."""
 
@@ -116,15 +110,16 @@ class PieceModel:
         self.byte_fallback &= len(self.bytes) == 256
         normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]
         top, self.unknown_score = max(normal, default=0.0), min(normal, default=0.0) - UNKNOWN_PENALTY
-        self.root = _Node({})
+        #: Nested dicts by character; under "" an (id, score) where a piece ends.
+        self.root: dict = {}
         self.longest, chars = 1, set()
         for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)):
             if k not in (NORMAL, USER) or not p:
                 continue
             node = self.root
             for c in p:
-                node = node.next.setdefault(c, _Node({}))
-            node.id, node.score = i, self.scores[i] if k == NORMAL else len(p) * top - 0.1
+                node = node.setdefault(c, {})
+            node[""] = (i, self.scores[i] if k == NORMAL else len(p) * top - 0.1)
             self.longest = max(self.longest, len(p))
             chars |= set(p)
         usable = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER)]
@@ -133,7 +128,8 @@ class PieceModel:
         self.chunk = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.parts_at_space and "\n" not in chars else "(?s).+")
         self.known: dict[str, tuple[int, ...]] = {}
         self.score_of = {p: s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True) if k in (NORMAL, USER)}
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.stays: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -158,15 +154,57 @@ class PieceModel:
 
     def _legal(self, left: int, right: int) -> bool:
         """Whether merging leaves the pieces as they are; left is -1 at a text's start and after an unknown character."""
-        key = (left, right)
-        known = self.stays.get(key)
+        row = self.stays.setdefault(left, {})
+        known = row.get(right)
         if known is None:
-            if len(self.stays) >= REMEMBERED_PAIRS:
+            if self.pairs >= REMEMBERED_PAIRS:
                 self.stays.clear()
-            pair = [self.pieces[i] for i in key if i >= 0]
-            known = self.stays[key] = self._merged("".join(pair)) == pair
+                self.pairs = 0
+            pair = [self.pieces[i] for i in (left, right) if i >= 0]
+            known = row[right] = self._merged("".join(pair)) == pair
+            self.pairs += 1
         return known
 
+    def _short(self, chunk: str) -> tuple[int, ...]:
+        """The same search over a chunk that is shorter than a window and so needs no commits on the way."""
+        n, merges, root = len(chunk), self.type == BPE, self.root
+        best: list[float | None] = [0.0] + [None] * n
+        came, last = [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            here = best[start]
+            if here is None:
+                continue
+            left, node, alone = last[start], root, False
+            row = self.stays.get(left) or {}
+            for end in range(start, n):
+                node = node.get(chunk[end])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is None:
+                    continue
+                alone |= end == start
+                piece, score = found
+                to = end + 1
+                if merges:
+                    if best[to] is None:
+                        stays = row.get(piece)
+                        if stays is None:
+                            stays = self._legal(left, piece)
+                        if stays:
+                            best[to], came[to], last[to] = 0.0, start, piece
+                elif best[to] is None or here + score > best[to]:
+                    best[to], came[to], last[to] = here + score, start, piece
+            if not alone:
+                score = 0.0 if merges else here + self.unknown_score
+                if best[start + 1] is None or score > best[start + 1]:
+                    best[start + 1], came[start + 1], last[start + 1] = score, start, -1
+        out: list[int] = []
+        while n:
+            out += (last[n],) if last[n] >= 0 else self._unknown(chunk[came[n]])[::-1]
+            n = came[n]
+        return tuple(out[::-1])
+
     def stream(self, chars: Iterator[str], held: list[int] | None = None) -> Iterator[list[int]]:
         """Lists of ids, each as soon as it is certain. ``held`` gets the most characters that were kept at once."""
         window: list[str] = []  # characters from the last boundary that is certain
@@ -188,17 +226,18 @@ class PieceModel:
             if start < len(window):
                 here, node, alone = best[start], self.root, False
                 for end in range(start, len(window)):
-                    node = node.next.get(window[end])
+                    node = node.get(window[end])
                     if node is None:
                         break
-                    if node.id >= 0:
+                    if "" in node:
+                        piece, score = node[""]
                         alone |= end == start
                         if merges:
-                            if best[end + 1] == -np.inf and self._legal(back[start][1], node.id):
-                                best[end + 1], back[end + 1] = 0.0, (start, node.id)
+                            if best[end + 1] == -np.inf and self._legal(back[start][1], piece):
+                                best[end + 1], back[end + 1] = 0.0, (start, piece)
                                 far = max(far, end + 1)
-                        elif here + node.score > best[end + 1]:
-                            best[end + 1], back[end + 1] = here + node.score, (start, node.id)
+                        elif here + score > best[end + 1]:
+                            best[end + 1], back[end + 1] = here + score, (start, piece)
                             far = max(far, end + 1)
                 lost = 0.0 if merges else here + self.unknown_score
                 if not alone and lost > best[start + 1]:
@@ -234,8 +273,10 @@ class PieceModel:
         for chunk in self.chunk.findall(self.normalise(text)):
             ids = known.get(chunk)
             if ids is None:
-                ids = tuple(i for part in self.stream(iter(chunk)) for i in part)
-                if len(chunk) <= 64:
+                if len(chunk) > SHORT:
+                    ids = [i for part in self.stream(iter(chunk)) for i in part]
+                else:
+                    ids = self._short(chunk)
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[chunk] = ids
