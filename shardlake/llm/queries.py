@@ -5,6 +5,7 @@ from __future__ import annotations
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
 from .mixing import op9_mixing
+from .multiindex import OP2_SQL, op2_neighbours
 from .quality import op10_quality
 from .sentencepiece import op7_sentencepiece
 from .sharding import op4_sharding
@@ -12,6 +13,7 @@ from .simhash import op6_simhash
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_neighbours": op2_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE: dict[str, str] = {"op2_neighbours": OP2_SQL, "op3_line_dedup": OP3_SQL}
