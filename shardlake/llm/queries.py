@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .htmltext import op5_html_text
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
 from .mixing import op9_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_neighbours": op2_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
