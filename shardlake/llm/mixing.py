@@ -213,10 +213,15 @@ def mix_sources(
     return Mix(rows, sources, segments, slots)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """Slots come from a few work orders, from which the optimiser takes them for few: they mustn't be broadcast."""
+    return df.hint("merge")
+
+
 def taken_words(mix: Mix) -> DataFrame:
     """doc_id, text_hash, at and how many of the document's words the mix takes, repeats counted."""
     times = mix.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    return mix.segments.join(times, ["source_no", "block"]).groupBy("source_no", "doc_id", "text_hash", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    return mix.segments.join(_large(times), ["source_no", "block"]).groupBy("source_no", "doc_id", "text_hash", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, mix: Mix) -> DataFrame:
@@ -230,7 +235,7 @@ def mixed_documents(documents: DataFrame, mix: Mix) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     number = {s.name: s.number for s in mix.sources}
     pieces = (
-        mix.segments.join(mix.slots, ["source_no", "block"])
+        mix.segments.join(_large(mix.slots), ["source_no", "block"])
         .groupBy("doc_id", "text_hash", "source_no", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("pieces"))
         .groupBy("doc_id", "text_hash", "source_no")
@@ -244,6 +249,7 @@ def mixed_documents(documents: DataFrame, mix: Mix) -> DataFrame:
         .withColumn("mix_copy", F.row_number().over(same))
         .where("mix_copy = 1")
     )
+    pieces = _large(pieces)
     both = one.join(pieces, one["mix_id"].eqNullSafe(pieces["doc_id"]) & (one["mix_hash"] == pieces["text_hash"]) & (one["mix_no"] == pieces["source_no"])).select(
         *(one[c] for c in names), pieces["epochs"]
     )
@@ -272,7 +278,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_source = F.broadcast(spark.createDataFrame([(s.number, s.size, s.target) for s in mix.sources], "source_no int, source_size long, target double"))
     # Copies of a row can't be told apart: their words are dealt out evenly, the first ones taking what is left over.
     copies = mix.rows.groupBy("source_no", "doc_id", "text_hash", "size").agg(F.count("*").alias("copies"))
-    taken = taken_words(mix).groupBy("source_no", "doc_id", "text_hash").agg(F.sum("taken").alias("words"))
+    taken = taken_words(mix).groupBy("source_no", "doc_id", "text_hash").agg(F.sum("taken").alias("words")).hint("merge")
     same = (copies["source_no"] == taken["source_no"]) & copies["doc_id"].eqNullSafe(taken["doc_id"]) & (copies["text_hash"] == taken["text_hash"])
     each = copies.join(taken, same, "left").select(copies["source_no"], copies["doc_id"], "size", "copies", F.coalesce("words", F.lit(0)).alias("words"))
     rows = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
