@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op8_chat
 from .htmltext import op5_html_text
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
