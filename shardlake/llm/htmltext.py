@@ -25,8 +25,8 @@ from .common import OUT_ROWS, column, cut, scalars, table
 # Names of HTML elements and words that mark page furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select datalist".split())
-UNWANTED = frozenset("head nav footer aside form button fieldset menu dialog legend option figcaption".split())
+RAW = frozenset("script style textarea title noscript template iframe svg audio video canvas select datalist".split())
+UNWANTED = frozenset("head nav footer aside form button fieldset menu dialog legend option".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "body": {"head", "p"}}
 BARRIERS = frozenset("ul ol dl table article section div main body html nav aside footer header form blockquote".split())
 UNWANTED_WORDS = frozenset(
@@ -36,6 +36,8 @@ UNWANTED_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 ARTICLE_WORDS = frozenset("article post entry story".split())
+#: Beginnings of class names that tell how a page is laid out, not what an element is.
+LAYOUT = ("with-", "has-", "no-", "is-", "js-")
 
 #: Elements nested deeper than this are taken as part of the one at this depth; their text stays.
 DEEPEST = 48
@@ -179,9 +181,9 @@ def load(x: list) -> Node:
 def _key(name: str, attributes: str) -> str:
     """The element's name and the words of its class, id and role that tell furniture from article."""
     words = set()
-    if "=" in attributes:
+    if "=" in attributes and name not in ("html", "body"):
         for _, a, b, c in _ATTRIBUTE.findall(attributes):
-            words |= {w.lower() for w in _WORD.findall(a or b or c)}
+            words |= {w.lower() for token in (a or b or c).split() if not token.lower().startswith(LAYOUT) for w in _WORD.findall(token)}
     words &= UNWANTED_WORDS | HEADER_WORDS | ARTICLE_WORDS | {"main", "content"}
     return ".".join([name, *sorted(words)])
 
@@ -280,8 +282,11 @@ def expression(node: Node) -> str:
     return f"({body}){'+' * node.repeated}{'?' * node.optional}" if node.repeated or node.optional else body
 
 
-def _states(path: tuple[str, ...]) -> tuple[bool, int]:
-    """Whether a slot below these elements is furniture, and how sure its place is an article's (0 to 3)."""
+def _states(path: tuple[str, ...], by_words: bool = True) -> tuple[bool, int]:
+    """Whether a slot below these elements is furniture, and how sure its place is an article's (0 to 3).
+
+    Without ``by_words`` only the names of elements tell furniture.
+    """
     inside, unwanted = 0, False
     for key in path:
         name, *words = key.split(".")
@@ -291,19 +296,19 @@ def _states(path: tuple[str, ...]) -> tuple[bool, int]:
             inside = max(inside, 2)
         elif set(words) & (ARTICLE_WORDS | {"content"}):
             inside = max(inside, 1)
-        if name in UNWANTED or set(words) & UNWANTED_WORDS:
+        if name in UNWANTED or by_words and set(words) & UNWANTED_WORDS:
             unwanted = True
-        if (name == "header" or set(words) & HEADER_WORDS) and inside < 3:
+        if (name == "header" or by_words and set(words) & HEADER_WORDS) and inside < 3:
             unwanted = True
     return unwanted, inside
 
 
-def _marks(wrapper: Node) -> Iterator[tuple[Node, bool, int]]:
+def _marks(wrapper: Node, by_words: bool = True) -> Iterator[tuple[Node, bool, int]]:
     todo: list[tuple[Node, tuple[str, ...]]] = [(wrapper, ())]
     while todo:
         node, path = todo.pop()
         if node.key == "#":
-            yield node, *_states(path)
+            yield node, *_states(path, by_words)
         todo += [(k, (*path, node.key) if node.key != "()" else path) for k in reversed(node.kids)]
 
 
@@ -348,6 +353,8 @@ class Extractor:
                 unwanted, inside = self.marks[id(slot_of)]
             template = slot_of is not None and slot_of.digest is not None and slot_of.pages >= TEMPLATE_PAGES
             rows.append((unwanted, inside, template))
+        if all(unwanted for unwanted, _, _ in rows):  # a word on an element around everything says nothing
+            rows = [(unwanted, inside, False) for _, unwanted, inside in _marks(tree, False)]
         level = max((inside for unwanted, inside, _ in rows if not unwanted), default=0)
         keep = [not unwanted and inside == level for unwanted, inside, _ in rows]
         varied = [k and not t for k, (_, _, t) in zip(keep, rows, strict=True)]

@@ -46,6 +46,11 @@ def test_furniture_goes():
     assert Extractor(None).text(PAGE) == "Title & more\n\nOne two three\n\nFour\n\nx\n\ny"
 
 
+def test_words_on_the_layout_say_nothing():
+    assert Extractor(None).text('<body class="sidebar"><div class="with-sidebar"><p>text</p><div class="sidebar">no</div></div>') == "text"
+    assert Extractor(None).text('<div class="widget"><nav>n</nav><p>text</p><figure><figcaption>c</figcaption></figure></div>') == "text\n\nc"
+
+
 def test_constant_text_is_template(spark):
     body = "<div><div><p>Follow us everywhere</p></div><div><p>{}</p><p>{}</p></div></div>"
     rows = [(i, f"http://h/{i}", body.format(f"text {i}", f"more {i}")) for i in range(8)] + [(9, "http://other/", body.format("a", "b"))]
