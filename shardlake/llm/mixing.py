@@ -23,8 +23,8 @@ MOST_EPOCHS = 3
 BLOCK_WORDS = 64
 #: Blocks that an output shard should have, and shards at most (their counts pass through the driver).
 SHARD_BLOCKS, MOST_SHARDS = 16_384, 4_096
-#: Documents that one packing task should order; slots that one task of the mix makes.
-BUCKET_ROWS, TASK_SLOTS = 20_000, 16_384
+#: Documents that one packing task should order; slots that one order of the mix makes; tasks for those at most.
+BUCKET_ROWS, TASK_SLOTS, MOST_TASKS = 20_000, 16_384, 20_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -202,12 +202,14 @@ def mix_sources(
     shards = int(min(MOST_SHARDS, max(1, -(-total // SHARD_BLOCKS))))
     counts = _draw(sources, shards, _seed(seed)) if sources else np.zeros((0, 0), np.int64)
     firsts, places, filled = np.cumsum(counts, 0) - counts, np.cumsum(counts, 1) - counts, counts.sum(1) if counts.size else []
-    work = []
-    for k, s in zip(*np.nonzero(counts), strict=True):
-        for i in range(0, int(counts[k, s]), TASK_SLOTS):
-            work.append((int(k), int(s), int(firsts[k, s]) + i, min(TASK_SLOTS, int(counts[k, s]) - i), int(places[k, s]) + i, int(filled[k])))
-    orders = spark.createDataFrame(work, "shard int, source_no int, first long, count long, place long, filled long")
-    slots = orders.repartition(max(1, min(len(work), -(-total // (4 * TASK_SLOTS)))), "shard", "source_no", "first").mapInArrow(
+    drawn = [(int(k), int(s), int(firsts[k, s]), int(counts[k, s]), int(places[k, s]), int(filled[k])) for k, s in zip(*np.nonzero(counts), strict=True)]
+    orders = spark.createDataFrame(drawn, "shard int, source_no int, first long, count long, place long, filled long")
+    # A row for each shard and source is cut into orders of bounded size where the rows are.
+    orders = orders.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(TASK_SLOTS).cast("long")))).select(
+        "shard", "source_no", (F.col("first") + F.col("skip")).alias("first"), F.least(F.lit(TASK_SLOTS), F.col("count") - F.col("skip")).alias("count"), (F.col("place") + F.col("skip")).alias("place"), "filled"
+    )
+    tasks = max(1, min(MOST_TASKS, -(-total // (4 * TASK_SLOTS))))
+    slots = orders.repartition(tasks, "shard", "source_no", "first").mapInArrow(
         _slot_rows({s.number: s.blocks for s in sources}, seed), "shard int, slot long, source_no int, block long, epoch long"
     )
     return Mix(rows, sources, segments, slots)
