@@ -104,7 +104,8 @@ class ShardedTable:
         placed = frame.withColumn(SHARD, self.placement(frame))
         if uuid_column:
             placed = placed.withColumn(uuid_column, F.coalesce(F.col(uuid_column), self._uuids()))
-        placed.repartition(SHARD, F.pmod(F.xxhash64(self.shard_key), F.lit(16))).write.mode(mode).partitionBy(SHARD).parquet(path)
+        # Files of a shard side by side; a large shard's rows are split into tasks of the advisory size.
+        placed.hint("rebalance", SHARD).write.mode(mode).partitionBy(SHARD).parquet(path)
 
     def _uuids(self) -> Column:
         """A random UUID of version 7 that carries the row's shard number."""
@@ -226,6 +227,14 @@ def unified_view_sql(table: str, shards: Iterable[Shard], prefix: str = "all_")
     return f"CREATE OR REPLACE VIEW {prefix}{table} AS\n" + "\nUNION ALL\n".join(parts) + ";"
 
 
+def sharded_sql(tables: Iterable[ShardedTable], sql: str, args: Mapping[str, object] | list | None = None) -> DataFrame:
+    """SQL over the unified views of ``tables``; values are passed as ``args`` for ``:name`` or ``?`` markers."""
+    tables = list(tables)
+    for t in tables:
+        t.create_view()
+    return tables[0].rows().sparkSession.sql(sql, args=args)
+
+
 def rebalance(table: ShardedTable, onto: Engine) -> DataFrame:
     """Rows whose shard would change on another engine, with ``_shard_id`` and ``_new_shard_id``.
 

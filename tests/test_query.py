@@ -9,7 +9,7 @@ from shardlake.functions.routing import ConsistentHash, Modulo, Ranges
 from shardlake.operators.paging import cursor_frame, paginate
 from shardlake.operators.relations import Relation, colocated_join
 from shardlake.plans.context import Engine
-from shardlake.sources.catalog import SHARD, Connections, Pool, ShardedTable, foreign_server_sql, read_placed, unified_view_sql
+from shardlake.sources.catalog import SHARD, Connections, Pool, ShardedTable, foreign_server_sql, read_placed, sharded_sql, unified_view_sql
 from shardlake.streaming.iterate import chunk, chunk_by_id, each, lazy
 from shardlake.topology import PoolExhausted, Shard, ShardingError, ShardSet
 
@@ -149,6 +149,11 @@ def test_iteration(numbers):
     assert each(q, lambda r: r.id < 100) and each(q, lambda r: False) is False
 
 
+def test_sql_with_values(numbers):
+    assert sharded_sql([numbers], "SELECT count(*) FROM all_t WHERE c = :c AND _shard_id = 'shard-1'", {"c": 1}).first()[0] == 3
+    assert sharded_sql([numbers], "SELECT count(*) FROM all_t WHERE c = ? AND id < ?", [1, 10]).first()[0] == 3
+
+
 def test_scatter_detector(numbers):
     e = numbers.engine
     e.scatter.enabled, told = True, []
