@@ -150,7 +150,7 @@ def test_iteration(numbers):
 
 
 def test_sql_with_values(numbers):
-    assert sharded_sql([numbers], "SELECT count(*) FROM all_t WHERE c = :c AND _shard_id = 'shard-1'", {"c": 1}).first()[0] == 3
+    assert sharded_sql([numbers], "SELECT count(*) FROM all_t WHERE c = :c AND _shard_id = 'shard-1'", {"c": 1}).first()[0] == 2
     assert sharded_sql([numbers], "SELECT count(*) FROM all_t WHERE c = ? AND id < ?", [1, 10]).first()[0] == 3
 
 
