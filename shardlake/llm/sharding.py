@@ -79,7 +79,8 @@ def shard_by_bytes(documents: DataFrame, shards: int, seed: int = 7, range_rows:
 
     Size is the text's UTF-8 bytes (null: none) plus ``RECORD_BYTES``. Order inside and across
     shards is (text key, doc_id); a null doc_id comes first, a null text has the key of an empty
-    one. Repeated rows each have a slot. The shard sizes differ from the even share by less than
+    one. Repeated rows each have a slot; rows equal in text and id can't be parted by a boundary and
+    are ordered by one task, which spills. The shard sizes differ from the even share by less than
     the largest record. An empty table gives an empty result. Extra columns are left out.
     """
     spark = documents.sparkSession
