@@ -27,14 +27,14 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose ids a worker remembers, before it forgets them all.
-REMEMBERED = 300_000
-#: Characters of a chunk whose search needs no window.
+#: Chunks whose ids a worker remembers, besides as many that it met before those.
+REMEMBERED = 100_000
+#: Characters of a chunk whose ids are remembered, and whose lattice fits into one window.
 SHORT = 64
 #: Pairs of pieces of which a worker remembers whether merging leaves them.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 250_000
 #: Rows that are encoded into one batch.
-BATCH_ROWS = 1_024
+BATCH_ROWS = 512
 
 
 def default_model() -> str:
@@ -110,23 +110,26 @@ class PieceModel:
         self.byte_fallback &= len(self.bytes) == 256
         normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]
         top, self.unknown_score = max(normal, default=0.0), min(normal, default=0.0) - UNKNOWN_PENALTY
-        #: Nested dicts by character; under "" an (id, score) where a piece ends.
-        self.root: dict = {}
+        #: By character a list of the dict of what may follow, the id of the piece that ends (-1: none), and its score.
+        self.root: dict[str, list] = {}
         self.longest, chars = 1, set()
         for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)):
             if k not in (NORMAL, USER) or not p:
                 continue
-            node = self.root
+            kids = self.root
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (i, self.scores[i] if k == NORMAL else len(p) * top - 0.1)
+                node = kids.setdefault(c, [{}, -1, 0.0])
+                kids = node[0]
+            node[1:] = i, self.scores[i] if k == NORMAL else len(p) * top - 0.1
             self.longest = max(self.longest, len(p))
             chars |= set(p)
         usable = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER)]
         #: No piece goes on over a blank after another character, so texts fall apart at such places.
         self.parts_at_space = not any(SPACE in p.lstrip(SPACE) for p in usable)
         self.chunk = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.parts_at_space and "\n" not in chars else "(?s).+")
+        #: Ids of chunks met lately, and of those met in the time before.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         self.score_of = {p: s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True) if k in (NORMAL, USER)}
         self.stays: dict[int, dict[int, bool]] = {}
         self.pairs = 0
@@ -143,13 +146,18 @@ class PieceModel:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_fallback else [self.unknown]
 
     def _merged(self, text: str) -> list[str]:
-        parts = list(text)
+        parts, score_of = list(text), self.score_of
         while len(parts) > 1:
-            scored = [(self.score_of.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            score, at = max(scored)
-            if score == -np.inf:
+            best, at, before = None, 0, parts[0]
+            for i in range(1, len(parts)):
+                part = parts[i]
+                score = score_of.get(before + part)
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+                before = part
+            if best is None:
                 break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
         return parts
 
     def _legal(self, left: int, right: int) -> bool:
@@ -165,45 +173,44 @@ class PieceModel:
             self.pairs += 1
         return known
 
-    def _short(self, chunk: str) -> tuple[int, ...]:
-        """The same search over a chunk that is shorter than a window and so needs no commits on the way."""
-        n, merges, root = len(chunk), self.type == BPE, self.root
-        best: list[float | None] = [0.0] + [None] * n
-        came, last = [0] * (n + 1), [-1] * (n + 1)
-        for start in range(n):
-            here = best[start]
-            if here is None:
-                continue
-            left, node, alone = last[start], root, False
-            row = self.stays.get(left) or {}
-            for end in range(start, n):
-                node = node.get(chunk[end])
-                if node is None:
+    def _steps(self, chunk: str, start: int) -> list[tuple[int, int]]:
+        """(end, piece) of the lattice's edges from ``start``, longer ones last; -1 is an unknown character."""
+        kids, out, to = self.root, [], start
+        for c in chunk[start : start + self.longest]:
+            if c not in kids:
+                break
+            kids, piece, _ = kids[c]
+            to += 1
+            if piece >= 0:
+                out.append((to, piece))
+        if not out or out[0][0] > start + 1:
+            out.insert(0, (start + 1, -1))
+        return out
+
+    def _merges(self, chunk: str) -> tuple[int, ...]:
+        """The legal path through a short chunk's lattice.
+
+        One path reaches each place, so places are looked at only when the path comes to them, longer
+        pieces first; a place from which none goes on is left by its backpointer, once and for all.
+        """
+        n, dead = len(chunk), set()
+        path: list[tuple[int, int]] = [(0, -1)]
+        todo = [self._steps(chunk, 0)]
+        while path[-1][0] < n:
+            place, left = path[-1]
+            row, steps = self.stays.setdefault(left, {}), todo[-1]
+            while steps:
+                to, piece = steps.pop()
+                if to not in dead and (piece < 0 or (row[piece] if piece in row else self._legal(left, piece))):
+                    path.append((to, piece))
+                    todo.append(self._steps(chunk, to) if to < n else [])
                     break
-                found = node.get("")
-                if found is None:
-                    continue
-                alone |= end == start
-                piece, score = found
-                to = end + 1
-                if merges:
-                    if best[to] is None:
-                        stays = row.get(piece)
-                        if stays is None:
-                            stays = self._legal(left, piece)
-                        if stays:
-                            best[to], came[to], last[to] = 0.0, start, piece
-                elif best[to] is None or here + score > best[to]:
-                    best[to], came[to], last[to] = here + score, start, piece
-            if not alone:
-                score = 0.0 if merges else here + self.unknown_score
-                if best[start + 1] is None or score > best[start + 1]:
-                    best[start + 1], came[start + 1], last[start + 1] = score, start, -1
-        out: list[int] = []
-        while n:
-            out += (last[n],) if last[n] >= 0 else self._unknown(chunk[came[n]])[::-1]
-            n = came[n]
-        return tuple(out[::-1])
+            else:
+                dead.add(place)
+                path.pop(), todo.pop()
+        if all(piece >= 0 for _, piece in path[1:]):
+            return tuple(piece for _, piece in path[1:])
+        return tuple(i for to, piece in path[1:] for i in ([piece] if piece >= 0 else self._unknown(chunk[to - 1])))
 
     def stream(self, chars: Iterator[str], held: list[int] | None = None) -> Iterator[list[int]]:
         """Lists of ids, each as soon as it is certain. ``held`` gets the most characters that were kept at once."""
@@ -224,13 +231,12 @@ class PieceModel:
             if held is not None:
                 held[0] = max(held[0], len(window))
             if start < len(window):
-                here, node, alone = best[start], self.root, False
+                here, kids, alone = best[start], self.root, False
                 for end in range(start, len(window)):
-                    node = node.get(window[end])
-                    if node is None:
+                    if window[end] not in kids:
                         break
-                    if "" in node:
-                        piece, score = node[""]
+                    kids, piece, score = kids[window[end]]
+                    if piece >= 0:
                         alone |= end == start
                         if merges:
                             if best[end + 1] == -np.inf and self._legal(back[start][1], piece):
@@ -267,20 +273,24 @@ class PieceModel:
                 back = [(0, back[meet][1]), *((max(0, p - meet), i) for p, i in back[meet + 1 :])]
                 start, far, limit = start - meet, far - meet, 4 * self.longest
 
+    def _whole(self, chunk: str) -> tuple[int, ...]:
+        return tuple(i for part in self.stream(iter(chunk)) for i in part)
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.known
+        known, short = self.known, self._merges if self.type == BPE else self._whole
         for chunk in self.chunk.findall(self.normalise(text)):
-            ids = known.get(chunk)
-            if ids is None:
-                if len(chunk) > SHORT:
-                    ids = [i for part in self.stream(iter(chunk)) for i in part]
-                else:
-                    ids = self._short(chunk)
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            out += ids
+            if chunk in known:
+                out += known[chunk]
+            elif len(chunk) > SHORT:
+                for part in self.stream(iter(chunk)):
+                    out += part
+            else:
+                if len(known) >= REMEMBERED:
+                    self.before, self.known = known, {}
+                    known = self.known
+                ids = known[chunk] = self.before[chunk] if chunk in self.before else short(chunk)
+                out += ids
         return out
 
     @functools.cached_property
@@ -313,52 +323,63 @@ def _read(spark: SparkSession, model: str | None) -> bytes:
         return f.read()
 
 
-def _mapped(df: DataFrame, made: str, kind: str, arrow: pa.DataType, of) -> DataFrame:
-    df = df.drop(made)
+def _mapped(df: DataFrame, made: dict[str, tuple[str, pa.DataType]], of) -> DataFrame:
+    df = df.drop(*made)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, BATCH_ROWS) for i in range(0, whole.num_rows, BATCH_ROWS)):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of(b), arrow)], names=[*b.schema.names, made])
+                new = [pa.array(x, kind) for x, (_, kind) in zip(of(b), made.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *made])
+
+    return df.mapInArrow(run, ", ".join([fields, *(f"{name} {kind}" for name, (kind, _) in made.items())]))
 
-    return df.mapInArrow(run, f"{fields}, {made} {kind}")
 
+_IDS, _TEXT = ("array<int>", pa.list_(pa.int32())), ("string", pa.string())
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | None = None) -> DataFrame:
+
+def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | None = None, decoded: str | None = None) -> DataFrame:
     """``df`` with the ids (array of int) of column ``text``; a column of that name is replaced.
 
     A null text gives null, an empty one no ids. Texts are taken whole, of any length; the search
     holds a window that the longest piece bounds, wherever paths converge. ``model`` is the path of
-    a model file, by default the public one.
+    a model file, by default the public one. With ``decoded`` a column of that name gets what the ids
+    decode to, in the same pass.
     """
     data = _read(df.sparkSession, model)
 
-    def of(b: pa.RecordBatch) -> list:
+    def of(b: pa.RecordBatch) -> Iterator[list]:
         m = _model(data)
-        return [None if t is None else np.array(m.encode(t), np.int32) for t in column(b, text).to_pylist()]
+        ids, back = [], []
+        for t in column(b, text):
+            t = t.as_py()
+            found = None if t is None else m.encode(t)
+            ids.append(None if t is None else np.array(found, np.int32))
+            if decoded:
+                back.append(None if t is None else m.decode(found))
+        yield ids
+        if decoded:
+            yield back
 
-    return _mapped(df, out, "array<int>", pa.list_(pa.int32()), of)
+    return _mapped(df, {out: _IDS, decoded: _TEXT} if decoded else {out: _IDS}, of)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str | None = None) -> DataFrame:
     """``df`` with the text of column ``ids``. Null gives null, no ids an empty text."""
     data = _read(df.sparkSession, model)
 
-    def of(b: pa.RecordBatch) -> list:
-        m, lists = _model(data), column(b, ids)
-        flat, ends = lists.flatten().to_numpy().tolist(), lists.offsets.to_numpy().tolist()
-        ends = [e - ends[0] for e in ends]
-        return [m.decode(flat[a:e]) if v else None for a, e, v in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+    def of(b: pa.RecordBatch) -> Iterator[list]:
+        m = _model(data)
+        yield [m.decode(x.values.to_pylist()) if x.is_valid else None for x in column(b, ids)]
 
-    return _mapped(df, out, "string", pa.string(), of)
+    return _mapped(df, {out: _TEXT}, of)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's ids and what they decode to, digested."""
-    both = decode(encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    both = encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), decoded="decoded")
     return both.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.sha2(F.coalesce(ids, F.lit("")), 256).alias("ids_sha256"),
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
         F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"), F.coalesce(F.col("decoded") == F.col("text"), F.lit(True)).alias("round_trip"),
     )
