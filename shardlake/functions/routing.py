@@ -190,18 +190,13 @@ class Ring:
         deepest = max(b - a for a, b in zip(before, [*before[1:], len(of)], strict=True))
         listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",")  # noqa: E731  folded into one literal
         starts, positions = listed(before).cast("array<int>"), listed([*self.positions, *["~"] * (deepest + 1)])
-        ids = sorted(self.nodes)
-        names = {s: i for i, s in enumerate(ids)}
-        owners = listed([names[o] for o in [*self.owners, self.owners[0]]]).cast("array<int>")
+        owners = F.split(F.lit("\u0001".join([*self.owners, self.owners[0]])), "\u0001")
         hashed = digest_column(key.cast("string"), self.algorithm)
         start = F.element_at(starts, F.conv(F.substring(hashed, 1, self.STRETCH_DIGITS), 16, 10).cast("int") + 1)
         at = start
-        for k in range(deepest):
-            at = at + F.when(F.element_at(positions, start + (k + 1)) < hashed, 1).otherwise(0)
-        owner, out = F.element_at(owners, at + 1), F.lit(ids[-1])
-        for i, shard_id in enumerate(ids[:-1]):
-            out = F.when(owner == i, F.lit(shard_id)).otherwise(out)
-        return F.when(key.isNotNull(), out)
+        for k in range(deepest):  # no conditional parts, so that what they share is computed once
+            at = at + (F.element_at(positions, start + (k + 1)) < hashed).cast("int")
+        return F.element_at(owners, at + 1)
 
     def intervals(self) -> list[tuple[str, str, str]]:
         """(after, up to, owner) for the ring's stretches, for SQL; the last one wraps around."""
