@@ -187,15 +187,20 @@ def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS, bits: int
     return link_components(cut(fingerprints(documents, words)), bits)
 
 
-def keep_one(documents: DataFrame, words: int = SHINGLE_WORDS, bits: int = MOST_BITS) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, each id once; null ids pass."""
-    kept = near_duplicates(documents, words, bits).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+def smallest(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents whose doc_id is their component_id in ``found``, each id once; null ids pass."""
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     own = documents["doc_id"].cast("long") == kept["kept_id"]
     copy = Window.partitionBy("kept_id").orderBy(F.lit(1))
     one = documents.join(kept, own).withColumn("kept_copy", F.row_number().over(copy)).where("kept_copy = 1").select(documents.columns)
     return one.unionByName(documents.where("doc_id IS NULL"))
 
 
+def keep_one(documents: DataFrame, words: int = SHINGLE_WORDS, bits: int = MOST_BITS) -> DataFrame:
+    """The documents that are the smallest doc_id of their component, each id once; null ids pass."""
+    return smallest(documents, near_duplicates(documents, words, bits))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
