@@ -41,7 +41,7 @@ LAYOUT = ("with-", "has-", "no-", "is-", "js-")
 
 #: Elements nested deeper than this are taken as part of the one at this depth; their text stays.
 DEEPEST = 48
-#: A slot whose text never changes is part of the host's template once so many pages have it.
+#: A slot outside a marked article whose text never changes is part of the host's template once so many pages have it.
 TEMPLATE_PAGES = 5
 #: Wrappers that are sent to all executors at once are no larger than this; larger sets are joined.
 SENT_BYTES = 32 << 20
@@ -351,7 +351,7 @@ class Extractor:
             slot_of = found.get(id(node))
             if slot_of is not None:
                 unwanted, inside = self.marks[id(slot_of)]
-            template = slot_of is not None and slot_of.digest is not None and slot_of.pages >= TEMPLATE_PAGES
+            template = not inside and slot_of is not None and slot_of.digest is not None and slot_of.pages >= TEMPLATE_PAGES
             rows.append((unwanted, inside, template))
         if all(unwanted for unwanted, _, _ in rows):  # a word on an element around everything says nothing
             rows = [(unwanted, inside, False) for _, unwanted, inside in _marks(tree, False)]

@@ -60,6 +60,16 @@ def test_constant_text_is_template(spark):
     assert {r.host: r.pages for r in wrappers(df).collect()} == {"h": 8, "other": 1}
 
 
+@pytest.mark.parametrize("around", ["article", "main", 'div class="content"'])
+def test_copies_of_an_article_stay_whole(spark, around):
+    end = around.split()[0]
+    copy = f"<{around}><h1>One title</h1><p>first</p><p>second</p><blockquote>said</blockquote></{end}><footer>(c)</footer>"
+    other = [(20 + i, f"http://hot/{i}", copy if i < 5 else f"<{around}><h1>T {i}</h1><p>a {i}</p><p>b</p></{end}>") for i in range(30)]
+    df = spark.createDataFrame([(i, f"http://copies/{i}", copy) for i in range(8)] + other, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[i] == "One title\n\nfirst\n\nsecond\n\nsaid" for i in [*range(8), *range(20, 25)]) and got[49] == "T 29\n\na 29\n\nb"
+
+
 @pytest.mark.parametrize("page", ["", "<", "a < b", "<p", "</div>x", "<!-- x", "<script>", "<p class='x", "<<p>>", "<div>" * 3000 + "deep" + "</div>" * 3000, "x" * 200_000, "<p>a" * 5000], ids=range(12))
 def test_broken_pages(page):
     tree, texts = parse(page)
