@@ -139,6 +139,11 @@ def filter_not_in(spark, sf_dir):
     return holed(spark, sf_dir).where("o_custkey", "<", 50).where_not_in("price", [0]).get("o_orderkey", "price")
 
 
+@query(f"SELECT o_orderkey, price FROM {HOLED} WHERE price NOT IN (0)")
+def filter_not_in_whole(spark, sf_dir):
+    return holed(spark, sf_dir).where_not_in("price", [0]).get("o_orderkey", "price")
+
+
 @query(f"SELECT o_orderkey FROM {HOLED} WHERE price IS NULL")
 def filter_null(spark, sf_dir):
     return holed(spark, sf_dir).where_null("price").get("o_orderkey")
@@ -288,6 +293,11 @@ def order_multi_key(spark, sf_dir):
     return orders(spark, sf_dir).where("o_custkey", "<=", 20).order_by("o_orderstatus").order_by_desc("o_totalprice").get(*COLUMNS)
 
 
+@query(f"SELECT {LISTED} FROM orders")
+def order_multi_key_whole(spark, sf_dir):
+    return orders(spark, sf_dir).order_by("o_orderstatus").order_by_desc("o_totalprice").get(*COLUMNS)
+
+
 @query(f"SELECT {LISTED} FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top_k(spark, sf_dir):
     return orders(spark, sf_dir).order_by_desc("o_totalprice").order_by("o_orderkey").limit(25).get(*COLUMNS)
@@ -446,6 +456,12 @@ def has_many_all(spark, sf_dir):
     return has_many(customers(spark, sf_dir).where("c_nationkey = 3"), relation, children).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
 
 
+@query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey")
+def has_many_whole(spark, sf_dir):
+    relation, children = of_customer(spark, sf_dir, False)
+    return has_many(customers(spark, sf_dir), relation, children).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
 @query(f"SELECT {LISTED} FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 5 OFFSET 1")
 def has_many_of_one(spark, sf_dir):
     relation, _ = of_customer(spark, sf_dir)
