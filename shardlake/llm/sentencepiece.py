@@ -13,6 +13,7 @@ import functools
 import importlib.util
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,10 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose ids a worker remembers, besides as many that it met before those.
-REMEMBERED = 100_000
-#: Characters of a chunk whose ids are remembered, and whose lattice fits into one window.
-SHORT = 64
+#: Chunks whose ids a worker remembers, besides as many that it met before those; characters of a remembered one at most.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
+#: Characters that are handed to the search at once where a text has no certain boundaries.
+SLICE = 1024
 #: Pairs of pieces of which a worker remembers whether merging leaves them.
 REMEMBERED_PAIRS = 250_000
 #: Rows that are encoded into one batch.
@@ -125,28 +126,32 @@ class PieceModel:
             chars |= set(p)
         usable = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER)]
         #: No piece goes on over a blank after another character, so texts fall apart at such places.
-        self.parts_at_space = not any(SPACE in p.lstrip(SPACE) for p in usable)
-        self.chunk = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.parts_at_space and "\n" not in chars else "(?s).+")
+        blank = f" {SPACE}" if self.escape else SPACE
+        self.parts_at_space = "\n" not in chars and not any(SPACE in p.lstrip(SPACE) for p in usable)
+        self.chunk = re.compile(f"\n|[{blank}]+[^{blank}\n]*|[^{blank}\n]+" if self.parts_at_space else f"(?s).{{1,{SLICE}}}")
+        #: What stands together with the blank put before a text.
+        self.head = re.compile(f"[{blank}]*[^{blank}\n]*" if self.parts_at_space else "")
         #: Ids of chunks met lately, and of those met in the time before.
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
         self.score_of = {p: s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True) if k in (NORMAL, USER)}
         self.stays: dict[int, dict[int, bool]] = {}
-        self.pairs = 0
+        self.pairs = self.streamed = 0
+        #: The last merge inside a piece, and whether there is one; pieces are not more than the model has.
+        self.derived: dict[str, tuple[str, str] | None] = {}
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        text = " " + text if self.dummy_prefix else text
-        return text.replace(" ", SPACE) if self.escape else text
+        return self._spaced("".join(self._chunks(text)))
 
     def _unknown(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_fallback else [self.unknown]
 
-    def _merged(self, text: str) -> list[str]:
-        parts, score_of = list(text), self.score_of
+    def _derived(self, text: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last to make ``text`` (empty for a character); None where it never does."""
+        known = self.derived.get(text, 0)
+        if known != 0:
+            return known
+        parts, score_of, last = list(text), self.score_of, ("", "")
         while len(parts) > 1:
             best, at, before = None, 0, parts[0]
             for i in range(1, len(parts)):
@@ -156,143 +161,181 @@ class PieceModel:
                     best, at = score, i
                 before = part
             if best is None:
+                last = None
                 break
+            last = parts[at - 1], parts[at]
             parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
-        return parts
+        self.derived[text] = last
+        return last
 
     def _legal(self, left: int, right: int) -> bool:
-        """Whether merging leaves the pieces as they are; left is -1 at a text's start and after an unknown character."""
+        """Whether merging leaves the pieces as they are; left is -1 at a text's start and after an unknown character.
+
+        Merges inside both pieces are undone, the later one first. The pieces part where they meet
+        if a merge over that place would have come before the one just undone.
+        """
         row = self.stays.setdefault(left, {})
         known = row.get(right)
         if known is None:
             if self.pairs >= REMEMBERED_PAIRS:
                 self.stays.clear()
                 self.pairs = 0
-            pair = [self.pieces[i] for i in (left, right) if i >= 0]
-            known = row[right] = self._merged("".join(pair)) == pair
+            known = row[right] = self._apart(self.pieces[left] if left >= 0 else "", self.pieces[right])
             self.pairs += 1
         return known
 
-    def _steps(self, chunk: str, start: int) -> list[tuple[int, int]]:
-        """(end, piece) of the lattice's edges from ``start``, longer ones last; -1 is an unknown character."""
-        kids, out, to = self.root, [], start
-        for c in chunk[start : start + self.longest]:
-            if c not in kids:
-                break
-            kids, piece, _ = kids[c]
-            to += 1
-            if piece >= 0:
-                out.append((to, piece))
-        if not out or out[0][0] > start + 1:
-            out.insert(0, (start + 1, -1))
-        return out
+    def _apart(self, a: str, b: str) -> bool:
+        halves_a, halves_b, score_of = self._derived(a) if a else (), self._derived(b), self.score_of
+        if halves_a is None or halves_b is None:
+            return False
+        if not a:
+            return True
+        limit, ties = -np.inf, False  # the merge just undone: its score, and whether one of that score further left comes first
+        while True:
+            over = score_of.get(a + b)
+            if over is not None and (over > limit or (ties and over == limit)):
+                return False
+            whole_a, whole_b = len(a) == 1, len(b) == 1
+            if whole_a and whole_b:
+                return True
+            if whole_b or (not whole_a and score_of[a] < score_of[b]):
+                limit, ties, a = score_of[a], False, self._derived(a)[1]
+            else:
+                limit, ties, b = score_of[b], True, self._derived(b)[0]
 
-    def _merges(self, chunk: str) -> tuple[int, ...]:
-        """The legal path through a short chunk's lattice.
+    def stream(self, parts: Iterator[str], held: list[int] | None = None) -> Iterator[list[int]]:
+        """Lists of ids, each as soon as it is certain, of the text that ``parts`` make together.
 
-        One path reaches each place, so places are looked at only when the path comes to them, longer
-        pieces first; a place from which none goes on is left by its backpointer, once and for all.
+        ``held`` gets the most characters that were kept at once.
         """
-        n, dead = len(chunk), set()
-        path: list[tuple[int, int]] = [(0, -1)]
-        todo = [self._steps(chunk, 0)]
-        while path[-1][0] < n:
-            place, left = path[-1]
-            row, steps = self.stays.setdefault(left, {}), todo[-1]
-            while steps:
-                to, piece = steps.pop()
-                if to not in dead and (piece < 0 or (row[piece] if piece in row else self._legal(left, piece))):
-                    path.append((to, piece))
-                    todo.append(self._steps(chunk, to) if to < n else [])
-                    break
-            else:
-                dead.add(place)
-                path.pop(), todo.pop()
-        if all(piece >= 0 for _, piece in path[1:]):
-            return tuple(piece for _, piece in path[1:])
-        return tuple(i for to, piece in path[1:] for i in ([piece] if piece >= 0 else self._unknown(chunk[to - 1])))
-
-    def stream(self, chars: Iterator[str], held: list[int] | None = None) -> Iterator[list[int]]:
-        """Lists of ids, each as soon as it is certain. ``held`` gets the most characters that were kept at once."""
-        window: list[str] = []  # characters from the last boundary that is certain
+        window = ""  # characters from the last boundary that is certain
+        back: list[tuple[int, int] | None] = [(0, -1)]  # where the best path to a place comes from, and its last piece
         best: list[float] = [0.0]
-        back: list[tuple[int, int]] = [(0, -1)]
         far = start = 0  # furthest end of a piece; first place not yet left, both from that boundary
-        limit, merges = 4 * self.longest, self.type == BPE
+        longest, limit, merges, stays = self.longest, 4 * self.longest, self.type == BPE, self.stays
+        unknown_score, root = self.unknown_score, self.root
         ended = False
-        while not ended or window:
-            while not ended and len(window) < start + self.longest:
-                c = next(chars, None)
-                if c is None:
+        while True:
+            while not ended and len(window) - start < longest:
+                part = next(parts, None)
+                if part is None:
                     ended = True
                 else:
-                    window.append(c)
-                    best.append(-np.inf), back.append((0, -1))
+                    window += part
+                    back += [None] * len(part)
+                    best += [-np.inf] * len(part)
+            n = len(window)
             if held is not None:
-                held[0] = max(held[0], len(window))
-            if start < len(window):
-                here, kids, alone = best[start], self.root, False
-                for end in range(start, len(window)):
-                    if window[end] not in kids:
+                held[0] = max(held[0], n)
+            if start >= n:
+                return
+            # Whatever may leave this place is known: its pieces end inside the window.
+            came = back[start]
+            if came is not None:
+                kids, alone, at, here = root, False, start, best[start]
+                left = came[1]
+                row = stays.get(left) if merges else None
+                for c in window[start : start + longest]:
+                    node = kids.get(c)
+                    if node is None:
                         break
-                    kids, piece, score = kids[window[end]]
-                    if piece >= 0:
-                        alone |= end == start
-                        if merges:
-                            if best[end + 1] == -np.inf and self._legal(back[start][1], piece):
-                                best[end + 1], back[end + 1] = 0.0, (start, piece)
-                                far = max(far, end + 1)
-                        elif here + score > best[end + 1]:
-                            best[end + 1], back[end + 1] = here + score, (start, piece)
-                            far = max(far, end + 1)
-                lost = 0.0 if merges else here + self.unknown_score
-                if not alone and lost > best[start + 1]:
-                    best[start + 1], back[start + 1] = lost, (start, -1)
-                    far = max(far, start + 1)
-                start += 1
-            meet = start if far <= start else 0
-            if not meet and start >= limit:
+                    kids, piece, score = node
+                    at += 1
+                    if piece < 0:
+                        continue
+                    if at == start + 1:
+                        alone = True
+                    if merges:
+                        if back[at] is None:
+                            fits = row.get(piece) if row else None
+                            if fits or (fits is None and self._legal(left, piece)):
+                                back[at] = (start, piece)
+                                if at > far:
+                                    far = at
+                    elif here + score > best[at]:
+                        best[at], back[at] = here + score, (start, piece)
+                        if at > far:
+                            far = at
+                if not alone and back[start + 1] is None or not merges and not alone and here + unknown_score > best[start + 1]:
+                    best[start + 1], back[start + 1] = here + unknown_score, (start, -1)
+                    if far < start + 1:
+                        far = start + 1
+            start += 1
+            if far <= start:
+                meet = start  # nothing crosses this place
+            elif start >= limit:
                 # All places that a later piece can begin at, traced back until they are one.
-                alive = {p for p in range(start, far + 1) if best[p] > -np.inf}
+                alive = {p for p in range(start, far + 1) if back[p] is not None}
                 while len(alive) > 1:
                     last = max(alive)
                     alive.discard(last)
                     alive.add(back[last][0])
                 meet = alive.pop()
-                limit = 2 * limit if not meet else limit
-            if meet:
-                ids: list[list[int]] = []
-                at = meet
-                while at:
-                    before, piece = back[at]
-                    ids.append([piece] if piece >= 0 else self._unknown(window[before]))
-                    at = before
-                yield [i for part in reversed(ids) for i in part]
-                zero = best[meet]
-                window, best = window[meet:], [b - zero for b in best[meet:]]
-                back = [(0, back[meet][1]), *((max(0, p - meet), i) for p, i in back[meet + 1 :])]
-                start, far, limit = start - meet, far - meet, 4 * self.longest
-
-    def _whole(self, chunk: str) -> tuple[int, ...]:
-        return tuple(i for part in self.stream(iter(chunk)) for i in part)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, short = self.known, self._merges if self.type == BPE else self._whole
-        for chunk in self.chunk.findall(self.normalise(text)):
-            if chunk in known:
-                out += known[chunk]
-            elif len(chunk) > SHORT:
-                for part in self.stream(iter(chunk)):
-                    out += part
+                if not meet:
+                    limit *= 2
+                    continue
             else:
+                continue
+            ids: list[int] = []
+            at = meet
+            while at:
+                before, piece = back[at]
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids += self._unknown(window[before])[::-1]
+                at = before
+            ids.reverse()
+            yield ids
+            if meet == n and ended:
+                return
+            zero = best[meet]
+            window, best = window[meet:], [b - zero for b in best[meet:]]
+            back = [(0, back[meet][1]), *(x and (max(0, x[0] - meet), x[1]) for x in back[meet + 1 :])]
+            start, far, limit = start - meet, far - meet, 4 * longest
+
+    def _chunks(self, text: str) -> Iterator[str]:
+        """The normalised text, cut where no piece goes on, one part after another; slices where there are no such places."""
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return
+        at = 0
+        if self.dummy_prefix:
+            at = self.head.match(text).end()
+            yield " " + text[:at]
+        for found in self.chunk.finditer(text, at):
+            yield found[0]
+
+    def encode(self, text: str) -> array:
+        """The ids of a text. Chunks met lately are recalled, all others go through the streaming search."""
+        out = array("i")
+        if not self.parts_at_space:
+            for ids in self.stream(self._spaced(c) for c in self._chunks(text)):
+                out.extend(ids)
+            return out
+        known, before = self.known, self.before
+        for chunk in self._chunks(text):
+            ids = known.get(chunk)
+            if ids is None:
+                ids = before.get(chunk)
+                if ids is None:
+                    self.streamed += len(chunk)
+                    if len(chunk) > REMEMBERED_CHARS:
+                        for part in self.stream(iter((self._spaced(chunk),))):
+                            out.extend(part)
+                        continue
+                    ids = tuple(i for part in self.stream(iter((self._spaced(chunk),))) for i in part)
                 if len(known) >= REMEMBERED:
-                    self.before, self.known = known, {}
-                    known = self.known
-                ids = known[chunk] = self.before[chunk] if chunk in self.before else short(chunk)
-                out += ids
+                    before, known = known, {}
+                    self.before, self.known = before, known
+                known[chunk] = ids
+            out.extend(ids)
         return out
 
+    def _spaced(self, part: str) -> str:
+        return part.replace(" ", SPACE) if self.escape else part
+
     @functools.cached_property
     def _table(self) -> list[bytes]:
         return [
@@ -355,7 +398,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | Non
         for t in column(b, text):
             t = t.as_py()
             found = None if t is None else m.encode(t)
-            ids.append(None if t is None else np.array(found, np.int32))
+            ids.append(None if t is None else np.frombuffer(found, np.int32))
             if decoded:
                 back.append(None if t is None else m.decode(found))
         yield ids
