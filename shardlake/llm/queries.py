@@ -7,7 +7,7 @@ from .htmltext import op5_html_text
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
 from .mixing import op9_mixing
-from .multiindex import OP2_SQL, op2_neighbours
+from .multiindex import EXACT_SQL, neighbours_exact, op2_neighbours
 from .quality import op10_quality
 from .sentencepiece import op7_sentencepiece
 from .sharding import op4_sharding
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "neighbours_exact": neighbours_exact,
 }
 
-ORACLE: dict[str, str] = {"op2_neighbours": OP2_SQL, "op3_line_dedup": OP3_SQL}
+ORACLE: dict[str, str] = {"neighbours_exact": EXACT_SQL, "op3_line_dedup": OP3_SQL}
