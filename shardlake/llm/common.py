@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of output that a Python stage gathers before it hands a batch back.
 OUT_ROWS = 4096
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set to a temporary one where the session names none."""
+    """The checkpoint folder of the session, set to a temporary one where a local session names none."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shardlake-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -29,8 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``; a temporary
-    folder stands in only where none is named, as in tests. Files go when Spark's cleaner
-    finds the frame unreferenced (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    folder stands in only where a local session names none, as in tests. Files go when Spark's
+    cleaner finds the frame unreferenced (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -59,6 +62,23 @@ def rows_to_arrow(schema: pa.Schema) -> Callable[[Iterator[tuple]], Iterator[pa.
     return pack
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for own columns beside those of ``df``, which may carry any names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def schema_of(df: DataFrame, without: set[str], more: str) -> StructType:
+    """The schema of ``df`` less some columns, with more of them at the end."""
+    kept = [StructField(f.name, f.dataType) for f in df.schema if f.name not in without]
+    return StructType(kept + StructType.fromDDL(more).fields)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
