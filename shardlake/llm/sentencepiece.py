@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a worker remembers, besides as many that it met before those; characters of a remembered one at most.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 64
+REMEMBERED, REMEMBERED_CHARS = 150_000, 64
 #: Characters that are handed to the search at once where a text has no certain boundaries.
 SLICE = 1024
 #: Pairs of pieces of which a worker remembers whether merging leaves them.
@@ -132,8 +132,8 @@ class PieceModel:
         #: What stands together with the blank put before a text.
         self.head = re.compile(f"[{blank}]*[^{blank}\n]*" if self.parts_at_space else "")
         #: Ids of chunks met lately, and of those met in the time before.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.score_of = {p: s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True) if k in (NORMAL, USER)}
         self.stays: dict[int, dict[int, bool]] = {}
         self.pairs = self.streamed = 0
@@ -210,62 +210,66 @@ class PieceModel:
         """
         window = ""  # characters from the last boundary that is certain
         back: list[tuple[int, int] | None] = [(0, -1)]  # where the best path to a place comes from, and its last piece
-        best: list[float] = [0.0]
-        far = start = 0  # furthest end of a piece; first place not yet left, both from that boundary
-        longest, limit, merges, stays = self.longest, 4 * self.longest, self.type == BPE, self.stays
-        unknown_score, root = self.unknown_score, self.root
-        ended = False
+        far = start = size = 0  # furthest end of a piece; first place not yet left; characters in the window
+        longest, merges, stays, root, lost = self.longest, self.type == BPE, self.stays, self.root, self.unknown_score
+        best: list[float] = [0.0]  # scores of the best paths, where scores decide
+        limit = 4 * longest  # paths are traced back when the search has come so far
+        nothing, ended = ({}, -1, 0.0), False
         while True:
-            while not ended and len(window) - start < longest:
+            while not ended and size - start < longest:
                 part = next(parts, None)
                 if part is None:
                     ended = True
                 else:
                     window += part
+                    size += len(part)
                     back += [None] * len(part)
-                    best += [-np.inf] * len(part)
-            n = len(window)
+                    if not merges:
+                        best += [-np.inf] * len(part)
             if held is not None:
-                held[0] = max(held[0], n)
-            if start >= n:
-                return
-            # Whatever may leave this place is known: its pieces end inside the window.
-            came = back[start]
-            if came is not None:
-                kids, alone, at, here = root, False, start, best[start]
-                left = came[1]
-                row = stays.get(left) if merges else None
-                for c in window[start : start + longest]:
-                    node = kids.get(c)
-                    if node is None:
-                        break
-                    kids, piece, score = node
-                    at += 1
-                    if piece < 0:
-                        continue
-                    if at == start + 1:
-                        alone = True
+                held[0] = max(held[0], size)
+            # All pieces that begin before this place end inside the window.
+            stop = min(limit, size if ended else size - longest + 1)
+            while start < stop:
+                came, one = back[start], start + 1
+                if came is not None:
+                    kids, at = root, start
                     if merges:
-                        if back[at] is None:
-                            fits = row.get(piece) if row else None
-                            if fits or (fits is None and self._legal(left, piece)):
+                        left = came[1]
+                        row = stays.get(left) or stays.setdefault(left, {})
+                        for c in window[start : start + longest]:
+                            if c not in kids:
+                                break
+                            kids, piece, _ = kids[c]
+                            at += 1
+                            if piece >= 0 and back[at] is None and (row[piece] if piece in row else self._legal(left, piece)):
                                 back[at] = (start, piece)
-                                if at > far:
-                                    far = at
-                    elif here + score > best[at]:
-                        best[at], back[at] = here + score, (start, piece)
-                        if at > far:
-                            far = at
-                if not alone and back[start + 1] is None or not merges and not alone and here + unknown_score > best[start + 1]:
-                    best[start + 1], back[start + 1] = here + unknown_score, (start, -1)
-                    if far < start + 1:
-                        far = start + 1
-            start += 1
-            if far <= start:
-                meet = start  # nothing crosses this place
-            elif start >= limit:
+                        if back[one] is None and root.get(window[start], nothing)[1] < 0:
+                            back[one], at = (start, -1), max(at, one)
+                    else:
+                        here, known = best[start], False
+                        for c in window[start : start + longest]:
+                            node = kids.get(c)
+                            if node is None:
+                                break
+                            kids, piece, score = node
+                            at += 1
+                            if piece >= 0:
+                                known |= at == one
+                                if here + score > best[at]:
+                                    best[at], back[at] = here + score, (start, piece)
+                        if not known and here + lost > best[one]:
+                            best[one], back[one], at = here + lost, (start, -1), max(at, one)
+                    if at > far:
+                        far = at
+                start = one
+            if ended and start == size:
+                meet = size
+            elif start < limit:
+                continue
+            else:
                 # All places that a later piece can begin at, traced back until they are one.
-                alive = {p for p in range(start, far + 1) if back[p] is not None}
+                alive = {p for p in range(start, min(far, size) + 1) if back[p] is not None}
                 while len(alive) > 1:
                     last = max(alive)
                     alive.discard(last)
@@ -274,8 +278,6 @@ class PieceModel:
                 if not meet:
                     limit *= 2
                     continue
-            else:
-                continue
             ids: list[int] = []
             at = meet
             while at:
@@ -287,11 +289,13 @@ class PieceModel:
                 at = before
             ids.reverse()
             yield ids
-            if meet == n and ended:
+            if ended and meet == size:
                 return
-            zero = best[meet]
-            window, best = window[meet:], [b - zero for b in best[meet:]]
+            window, size = window[meet:], size - meet
             back = [(0, back[meet][1]), *(x and (max(0, x[0] - meet), x[1]) for x in back[meet + 1 :])]
+            if not merges:
+                zero = best[meet]
+                best = [b - zero for b in best[meet:]]
             start, far, limit = start - meet, far - meet, 4 * longest
 
     def _chunks(self, text: str) -> Iterator[str]:
@@ -307,13 +311,13 @@ class PieceModel:
         for found in self.chunk.finditer(text, at):
             yield found[0]
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a text. Chunks met lately are recalled, all others go through the streaming search."""
-        out = array("i")
+        out = bytearray()
         if not self.parts_at_space:
             for ids in self.stream(self._spaced(c) for c in self._chunks(text)):
-                out.extend(ids)
-            return out
+                out += array("i", ids).tobytes()
+            return np.frombuffer(out, np.int32)
         known, before = self.known, self.before
         for chunk in self._chunks(text):
             ids = known.get(chunk)
@@ -321,17 +325,18 @@ class PieceModel:
                 ids = before.get(chunk)
                 if ids is None:
                     self.streamed += len(chunk)
+                    found = self.stream(iter((self._spaced(chunk),)))
                     if len(chunk) > REMEMBERED_CHARS:
-                        for part in self.stream(iter((self._spaced(chunk),))):
-                            out.extend(part)
+                        for part in found:
+                            out += array("i", part).tobytes()
                         continue
-                    ids = tuple(i for part in self.stream(iter((self._spaced(chunk),))) for i in part)
+                    ids = b"".join([array("i", part).tobytes() for part in found])
                 if len(known) >= REMEMBERED:
                     before, known = known, {}
                     self.before, self.known = before, known
                 known[chunk] = ids
-            out.extend(ids)
-        return out
+            out += ids
+        return np.frombuffer(out, np.int32)
 
     def _spaced(self, part: str) -> str:
         return part.replace(" ", SPACE) if self.escape else part
@@ -398,9 +403,9 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str | Non
         for t in column(b, text):
             t = t.as_py()
             found = None if t is None else m.encode(t)
-            ids.append(None if t is None else np.frombuffer(found, np.int32))
+            ids.append(None if t is None else found)
             if decoded:
-                back.append(None if t is None else m.decode(found))
+                back.append(None if t is None else m.decode(found.tolist()))
         yield ids
         if decoded:
             yield back
