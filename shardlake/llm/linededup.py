@@ -1,8 +1,9 @@
 """Lines that documents share, dropped but in the first document, through minimal perfect hashes.
 
-Only line hashes travel: each shard of hash space gets a minimal perfect hash over its
-repeated line hashes, which indexes a fingerprint, a document count and the first document's
-id. The hashes of every document probe those arrays; lines are never joined to lines.
+Only line hashes travel: each shard of hash space gets a minimal perfect hash over all its
+distinct line hashes, which indexes compact arrays: a fingerprint and a document count for each
+line, and the first document's id for those that several hold. The hashes of every document probe
+those arrays; lines are never joined to lines.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OUT_ROWS, column, cut, scalars, table
+from .common import OUT_ROWS, column, cut, fresh, scalars, schema_of, table
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LEAST_CODE_POINTS = 10
 #: Line occurrences that one probing task should hold; beyond HOT times that, a shard's are dealt to several tasks.
 SHARD_ROWS, HOT = 40_000, 2
+#: No more shards than this can count as hot: those that hold one of so many parts of all occurrences.
+MOST_HOT = 10_000
 #: Bits per key and level of the minimal perfect hash; levels before the rest is listed.
 GAMMA, LEVELS = 2, 24
 
@@ -34,12 +37,6 @@ def long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8")) >= least)
 
 
-def key_hash(key: bytes) -> tuple[int, int]:
-    """Both halves of a 128-bit hash, as signed numbers."""
-    h = xxhash.xxh3_128_digest(key)
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
-
-
 def _spread(keys: np.ndarray, level: int) -> np.ndarray:
     x = keys ^ np.uint64((0x9E3779B97F4A7C15 * (level + 1)) & (2**64 - 1))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -89,35 +86,65 @@ class PerfectHash:
 
 
 _OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-_INDEX = "shard long, widths binary, bits binary, rest binary, prints binary, counts binary, owners binary"
+_INDEX = "shard long, seed long, widths binary, bits binary, rest binary, prints binary, counts binary, owners binary"
+
+
+def lines_of(raw: bytes) -> Iterator[bytes]:
+    start = 0
+    while (end := raw.find(b"\n", start)) >= 0:
+        yield raw[start:end]
+        start = end + 1
+    yield raw[start:]
+
+
+def line_hashes(raw: bytes, least: int) -> np.ndarray:
+    """Both halves of the hashes of a text's different keys, a row for each."""
+    out = bytearray()
+    for line in lines_of(raw):
+        if long_enough(key := line_key(line), least):
+            out += xxhash.xxh3_128_digest(key)
+    both = np.frombuffer(out, np.int64).reshape(-1, 2)
+    return both[np.unique(both[:, 0], return_index=True)[1]]
 
 
 def _occurrences(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, first, second = [], [], []
-            for doc_id, text in zip(column(b, "doc_id").to_pylist(), column(b, "text"), strict=True):
-                raw = text.as_buffer() if hasattr(text, "as_buffer") else None
-                if doc_id is None or raw is None:
-                    continue
-                for h1, h2 in {key_hash(k) for line in raw.to_pybytes().split(b"\n") if long_enough(k := line_key(line), least)}:
-                    ids.append(doc_id), first.append(h1), second.append(h2)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, first, second)], schema=_OCCURRENCE)
+        for whole in batches:
+            for b in (whole.slice(i, OUT_ROWS) for i in range(0, whole.num_rows, OUT_ROWS)):
+                ids, found = column(b, "doc_id"), [np.zeros((0, 2), np.int64)]
+                at: list[np.ndarray] = [np.zeros(0, np.int64)]
+                for i, text in enumerate(column(b, "text")):
+                    if text.is_valid and ids[i].is_valid:
+                        found.append(line_hashes(text.as_buffer().to_pybytes(), least))
+                        at.append(np.full(len(found[-1]), i))
+                both = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(at))), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=_OCCURRENCE)
 
     return run
 
 
+def _keys(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit key for each line of a shard; another seed parts keys that fall together."""
+    return h2.view(np.uint64) ^ _spread(h1.view(np.uint64), seed)
+
+
+def _prints(h1: np.ndarray) -> np.ndarray:
+    return (h1.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
 def _build(group: pa.Table) -> pa.Table:
-    """The arrays of one shard, each in the order of the shard's perfect hash."""
-    h1 = group["h1"].to_numpy().view(np.uint64)
-    mph = PerfectHash.build(h1)
-    spot, n = mph.lookup(h1), len(h1)
-    prints, counts, owners = np.zeros(n, np.int64), np.zeros(n, np.uint32), np.zeros(n, np.int64)
-    prints[spot] = group["h2"].to_numpy()
-    counts[spot] = np.minimum(group["holders"].to_numpy(), 2**32 - 1)
+    """The arrays of one shard: prints and counts in the order of its perfect hash, owners for the counts over one."""
+    h1, h2 = group["h1"].to_numpy(), group["h2"].to_numpy()
+    seed = next(s for s in range(1 << 16) if len(np.unique(_keys(h1, h2, s))) == len(h1))
+    keys = _keys(h1, h2, seed)
+    mph, n = PerfectHash.build(keys), len(h1)
+    spot = mph.lookup(keys)
+    prints, counts, owners = np.zeros(n, np.uint32), np.zeros(n, np.uint16), np.zeros(n, np.int64)
+    prints[spot] = _prints(h1)
+    counts[spot] = np.minimum(group["holders"].to_numpy(), 2**16 - 1)
     owners[spot] = group["owner"].to_numpy()
-    blobs = [x.tobytes() for x in (mph.widths, mph.bits, mph.rest, prints, counts, owners)]
-    return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("widths", "bits", "rest", "prints", "counts", "owners"), blobs, strict=True)}})
+    blobs = [x.tobytes() for x in (mph.widths, mph.bits, mph.rest, prints, counts, owners[counts > 1])]
+    return pa.table({"shard": group["shard"][:1], "seed": pa.array([seed], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("widths", "bits", "rest", "prints", "counts", "owners"), blobs, strict=True)}})
 
 
 def _probe(hashes: pa.Table, index: pa.Table) -> pa.Table:
@@ -126,12 +153,12 @@ def _probe(hashes: pa.Table, index: pa.Table) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64())})
     of = lambda name, kind: np.frombuffer(index[name][0].as_py(), kind)
     mph = PerfectHash(of("widths", np.int64), of("bits", np.uint8), of("rest", np.uint64))
-    prints, owners = of("prints", np.int64), of("owners", np.int64)
+    prints, counts, owners = of("prints", np.uint32), of("counts", np.uint16), of("owners", np.int64)
     doc, h1, h2 = (hashes[c].to_numpy() for c in ("doc_id", "h1", "h2"))
-    spot = mph.lookup(h1.view(np.uint64))
-    known = (spot >= 0) & (spot < len(prints))
-    spot = np.where(known, spot, 0)
-    lost = known & (prints[spot] == h2) & (owners[spot] < doc)
+    spot = mph.lookup(_keys(h1, h2, index["seed"][0].as_py()))
+    shared = np.flatnonzero((spot >= 0) & (prints[spot] == _prints(h1)) & (counts[spot] > 1))
+    owner = owners[(np.cumsum(counts > 1) - 1)[spot[shared]]]
+    lost = shared[owner < doc[shared]]
     return pa.table({"doc_id": pa.array(doc[lost]), "h1": pa.array(h1[lost])})
 
 
@@ -141,16 +168,13 @@ def lost_lines(documents: DataFrame, least: int = LEAST_CODE_POINTS, shard_rows:
     (n,) = scalars(hashes, F.count("*"))
     shards = max(1, -(-n // shard_rows))
     hashes = hashes.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
-    index = (
-        hashes.groupBy("shard", "h1", "h2")
-        .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("holders"))
-        .where("owner <> last")
-        .drop("last")
-        .groupBy("shard")
-        .applyInArrow(_build, _INDEX)
-    )
-    # A line that very many documents hold makes its shard hot. At most n / (HOT * shard_rows) shards can be.
-    hot = hashes.groupBy("shard").count().where(F.col("count") > HOT * shard_rows)
+    # Rows that repeat a doc_id are one document: a line that only they hold has one holder.
+    holders = F.when(F.min("doc_id") == F.max("doc_id"), F.lit(1)).otherwise(F.count("*"))
+    lines = hashes.groupBy("shard", "h1", "h2").agg(F.min("doc_id").alias("owner"), holders.alias("holders"))
+    index = lines.groupBy("shard").applyInArrow(_build, _INDEX)
+    # A line that very many documents hold makes its shard hot; the bound holds the number of those down.
+    bound = max(HOT * shard_rows, n // MOST_HOT)
+    hot = hashes.groupBy("shard").count().where(F.col("count") > bound)
     salts = F.broadcast(hot.select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("salts")))
     many = F.coalesce(F.col("salts"), F.lit(1))
     dealt = hashes.join(salts, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), many).cast("int").alias("salt"), "doc_id", "h1", "h2")
@@ -159,24 +183,32 @@ def lost_lines(documents: DataFrame, least: int = LEAST_CODE_POINTS, shard_rows:
     return lost.groupBy("doc_id").agg(F.collect_set("h1").alias("lost"))
 
 
-def _kept(names: list[str], least: int):
+def _without(raw: bytes, lost: list[int], least: int) -> tuple[bytes, int]:
+    """A text less the lines of these hashes, and how many those were."""
+    gone, out, dropped = set(lost), bytearray(), 0
+    for line in lines_of(raw):
+        if long_enough(key := line_key(line), least) and int.from_bytes(xxhash.xxh3_128_digest(key)[:8], "little", signed=True) in gone:
+            dropped += 1
+        else:
+            out += line
+            out += b"\n"
+    return bytes(out[:-1]), dropped
+
+
+def _kept(names: list[str], lost: str, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, OUT_ROWS) for i in range(0, whole.num_rows, OUT_ROWS)):
+            for b in (whole.slice(i, OUT_ROWS // 8) for i in range(0, whole.num_rows, OUT_ROWS // 8)):
                 texts, lines, dropped = [], [], []
-                for text, lost in zip(column(b, "text").to_pylist(), column(b, "lost").to_pylist(), strict=True):
-                    parts = (text or "").split("\n")
-                    lines.append(len(parts))
-                    if lost:
-                        gone = set(lost)
-                        stay = [x for x in parts if not (long_enough(k := line_key(x.encode("utf-8")), least) and key_hash(k)[0] in gone)]
-                        dropped.append(len(parts) - len(stay))
-                        text = "\n".join(stay)
-                    else:
-                        dropped.append(0)
-                    texts.append(text)
-                own = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
-                yield pa.RecordBatch.from_arrays([own.get(n, None) if n in own else column(b, n) for n in names], names=names)
+                for text, gone in zip(column(b, "text"), column(b, lost), strict=True):
+                    raw, n = text.as_buffer().to_pybytes() if text.is_valid else None, 0
+                    lines.append((raw or b"").count(b"\n") + 1)
+                    if raw and gone.is_valid:
+                        raw, n = _without(raw, gone.as_py(), least)
+                    texts.append(raw)
+                    dropped.append(n)
+                own = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+                yield pa.RecordBatch.from_arrays([own[n] if n in own else column(b, n) for n in names], names=names)
 
     return run
 
@@ -188,15 +220,15 @@ def dedup_lines(documents: DataFrame, least: int = LEAST_CODE_POINTS, shard_rows
     at both ends and A-Z in lower case. Keys of at least ``least`` code points that two documents
     or more hold lose all lines but those in the smallest doc_id. A text that is null stays null
     and counts as one empty line; a null doc_id is no document: its row passes unchanged. Rows
-    that repeat a doc_id are parts of one document. Columns n_lines, n_dropped and lost of the
-    input are replaced; others pass through.
+    that repeat a doc_id are parts of one document. Columns n_lines and n_dropped of the input
+    are replaced; others pass through, whatever their names.
     """
-    documents = documents.drop("n_lines", "n_dropped", "lost")
-    names = [*documents.columns, "n_lines", "n_dropped"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    lost = lost_lines(documents, least, shard_rows).withColumnRenamed("doc_id", "lost_doc_id")
-    both = documents.join(lost, documents["doc_id"].cast("long") == lost["lost_doc_id"], "left").drop("lost_doc_id")
-    return both.mapInArrow(_kept(names, least), f"{fields}, n_lines long, n_dropped long")
+    documents = documents.drop("n_lines", "n_dropped")
+    schema = schema_of(documents, set(), "n_lines long, n_dropped long")
+    lost, lost_id = fresh(documents, "lost", "lost_id")
+    found = lost_lines(documents, least, shard_rows).select(F.col("doc_id").alias(lost_id), F.col("lost").alias(lost))
+    both = documents.join(found, documents["doc_id"].cast("long") == found[lost_id], "left").drop(lost_id)
+    return both.mapInArrow(_kept(schema.names, lost, least), schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
