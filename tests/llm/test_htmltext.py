@@ -88,3 +88,75 @@ def test_odd_rows(spark):
         assert got == sorted([(1, "Hi & you there\n\nB", 17), (1, "", 0), (None, "", 0), (4, "", 0)], key=str)
     assert main_text(df.limit(0)).count() == 0
     assert host_of("https://u:p@Ex.org:8/x") == "ex.org" and host_of(None) == "" and host_of("no url") == ""
+
+
+def _unmarked(i, word):
+    """A page that names nothing: constant and varying furniture around an article of some paragraphs."""
+    paragraphs = "".join(f"<p>{word} paragraph {k} of page {i}, long enough to be prose.</p>" for k in range(2 + i % 4))
+    section = f"<h2>About us</h2><blockquote>{word} said {i}</blockquote>" if i % 2 else ""
+    page = (
+        "<html><body><div class=a1><div>Welcome to the site</div><span>Since 1999</span></div>"
+        f"<div class=a2><a href=/{i}>next {i}</a><a href=/x>up {word}</a></div>"
+        f"<div class=a3><div class=a4><h1>Press release</h1>{paragraphs}{section}</div><div class=a5>Buy {word} {i}</div></div>"
+        "<div class=a6><p>All rights reserved by the owner of this site, who reserves them.</p></div></body></html>"
+    )
+    text = ["Press release", *(f"{word} paragraph {k} of page {i}, long enough to be prose." for k in range(2 + i % 4))]
+    return page, "\n\n".join([*text, *(["About us", f"{word} said {i}"] if i % 2 else [])])
+
+
+@pytest.mark.parametrize("n", [4, 5, 50])
+def test_the_wrapper_decides_where_nothing_is_named(spark, n):
+    pages = [_unmarked(i, "apple") for i in range(n)]
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(pages)}  # recurring headings stay, whatever the number of pages
+    assert all(Extractor(None).text(p) != t for p, t in pages)
+
+
+def test_headings_inside_a_marked_article_stay_at_any_number_of_pages(spark):
+    for n in (2, 4, 5, 50):
+        rows = [(i, f"http://h/{i}", f"<nav>n</nav><article><h1>Press release</h1><p>text {i}</p><h2>About us</h2><p>We sell.</p></article>") for i in range(n)]
+        got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"Press release\n\ntext {i}\n\nAbout us\n\nWe sell." for i in range(n)}
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_any_columns_and_a_hot_host(spark, sent, monkeypatch):
+    from shardlake.llm import htmltext
+
+    monkeypatch.setattr(htmltext, "HOST_PAGES", 3)
+    pages = [_unmarked(i, "pear") for i in range(40)]
+    rows = [(i, f"HTTP://User@Hot:80/{i}" if i % 4 else f"http://h{i}/", p, "own", "mine", "salty", 7) for i, (p, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string, salt string, _host int")
+    got = main_text(df, sent).collect()
+    assert {r.page_id: r.text for r in got if r.page_id % 4} == {i: t for i, (_, t) in enumerate(pages) if i % 4}
+    assert len(got) == 40 and all((r.host, r.wrapper, r.salt, r._host) == ("own", "mine", "salty", 7) for r in got)
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    import random
+
+    from shardlake.llm.htmltext import Node, _pairs
+
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([Node(rng.choice("pqrs")) for _ in range(rng.randrange(9))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x.key == y.key else max(best[i][j + 1], best[i + 1][j])
+        found = _pairs(a, b)
+        assert len(found) == best[-1][-1] and found == sorted(set(found)) and all(a[i].key == b[j].key for i, j in found)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:], strict=False))
+
+
+def test_long_sequences_are_aligned_in_order(monkeypatch):
+    from shardlake.llm import htmltext
+
+    monkeypatch.setattr(htmltext, "MOST_PAIRS", 3)
+    a, b = ([htmltext.Node(k) for k in keys] for keys in ("xabcd", "ybzcaw"))
+    assert htmltext._pairs(a, b) == [(1, 4)] or [(a[i].key, b[j].key) for i, j in htmltext._pairs(a, b)] == [("b", "b"), ("c", "c")]
+
+
+def test_unclosed_character_data():
+    assert Extractor(None).text("<p><![CDATA[abcdef") == "abcdef" and Extractor(None).text("<p><![CDATA[ab]]>c") == "abc"
