@@ -76,7 +76,7 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def schema_of(df: DataFrame, without: set[str], more: str) -> StructType:
     """The schema of ``df`` less some columns, with more of them at the end."""
     kept = [StructField(f.name, f.dataType) for f in df.schema if f.name not in without]
-    return StructType(kept + StructType.fromDDL(more).fields)
+    return StructType(kept + (StructType.fromDDL(more).fields if more else []))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -1,9 +1,10 @@
 """Mixing sources to target weights in fixed-length blocks of words.
 
-Each source's words are packed into blocks. Output shards draw how many blocks each source
-gives them (a multinomial draw given the totals, so that totals meet their targets to within a
-block), every slot is mapped to a block through the source's pseudorandom permutation of block
-indices (a fresh one each time the source begins again), and slots meet blocks by index.
+Each source's words are packed into blocks. Output shards draw how many blocks each source gives
+them, a multinomial draw each; what a source drew beyond its total in the last shards goes, there,
+to sources that drew less than theirs, so that totals meet their targets to within a block. Every
+slot is mapped to a block through the source's pseudorandom permutation of block indices (a fresh
+one each time the source begins again), and slots meet blocks by index.
 """
 
 from __future__ import annotations
@@ -13,18 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OUT_ROWS, column, cut, scalars, table
+from .common import OUT_ROWS, column, cut, fresh, schema_of, table
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 BLOCK_WORDS = 64
-#: Blocks that an output shard should have, and shards at most (their counts pass through the driver).
-SHARD_BLOCKS, MOST_SHARDS = 16_384, 4_096
-#: Documents that one packing task should order; slots that one order of the mix makes; tasks for those at most.
-BUCKET_ROWS, TASK_SLOTS, MOST_TASKS = 20_000, 16_384, 20_000
+#: Blocks that an output shard should have.
+SHARD_BLOCKS = 16_384
+#: Documents that one packing group should have; equal rows that travel together.
+BUCKET_ROWS, COPIES = 2_000, 1_000
+#: Slots that one order of the mix makes; tasks for those at most.
+TASK_SLOTS, MOST_TASKS = 16_384, 20_000
+#: Tables of sources up to this size are broadcast, larger ones joined.
+SENT_BYTES = 8 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -98,7 +104,7 @@ class Source:
 
 @dataclass
 class Mix:
-    """rows: doc_id, source_no, size, ...; segments: the words of a document in a block; slots: block of each slot."""
+    """rows: doc_id, source_no, text_hash, size and how many copies; segments: the words of a copy in a block; slots: block of each slot."""
 
     rows: DataFrame
     sources: list[Source]
@@ -116,36 +122,79 @@ def _sources(found: list[tuple[str | None, int]], weights: tuple[int, ...], most
     return out
 
 
-#: The exact conditional draw is offered below so many blocks; beyond, a multinomial one held to what is left.
-EXACT_DRAW = 10**9
+def _filled(total: int, shards: int, shard: int) -> int:
+    return total * (shard + 1) // shards - total * shard // shards
 
 
-def _from(rng: np.random.Generator, left: np.ndarray, slots: int) -> np.ndarray:
-    if left.sum() < EXACT_DRAW:
-        return rng.multivariate_hypergeometric(left, slots, method="marginals")
-    out = np.minimum(rng.multinomial(slots, left / left.sum()), left)
-    room = left - out
-    return out + np.minimum(room, np.maximum(0, slots - out.sum() - (np.cumsum(room) - room)))
+def _drawn(draws: np.ndarray, shards: int, seed: int):
+    """For each shard's number a row for each source that it draws blocks of."""
+    total = int(draws.sum())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard in column(b, "shard").to_pylist():
+                counts = np.random.Generator(np.random.PCG64(_seed(seed, shard))).multinomial(_filled(total, shards, shard), draws / total)
+                of = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shard)), pa.array(of.astype(np.int32)), pa.array(counts[of])], names=["shard", "source_no", "count"])
+
+    return run
+
+
+def settle(shard: np.ndarray, source: np.ndarray, count: np.ndarray, first: np.ndarray, draws: np.ndarray, drawn: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(shard, source, first, count) after sources have given up what they drew beyond their totals.
 
-def _draw(sources: list[Source], shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard: shards take equally many slots, drawn given the sources' totals."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left = np.array([s.draws for s in sources], np.int64)
-    total = int(left.sum())
-    out = np.zeros((shards, len(sources)), np.int64)
-    for k in range(shards):
-        slots = total * (k + 1) // shards - total * k // shards
-        out[k] = left if k == shards - 1 else _from(rng, left, slots)
-        left = left - out[k]
+    Surplus draws are counted through all sources, missing ones too; the k-th surplus draw becomes the
+    k-th missing one, in the shard that it was drawn in. ``first`` is what the source drew in earlier shards.
+    """
+    surplus, missing = np.maximum(drawn - draws, 0), np.maximum(draws - drawn, 0)
+    before, ends = np.cumsum(surplus) - surplus, np.cumsum(missing)
+    kept = np.clip(draws[source] - first, 0, count)
+    out = [x for x in zip(shard.tolist(), source.tolist(), first.tolist(), kept.tolist(), strict=True) if x[3]]
+    for i in np.flatnonzero(kept < count).tolist():
+        s = source[i]
+        at, left = int(before[s] + max(first[i], draws[s]) - draws[s]), int(count[i] - kept[i])
+        while left:
+            to = int(np.searchsorted(ends, at, "right"))
+            n = min(left, int(ends[to]) - at)
+            out.append((int(shard[i]), to, int(drawn[to] + at - (ends[to] - missing[to])), n))
+            at, left = at + n, left - n
     return out
 
 
-def _slot_rows(blocks: dict[int, int], seed: int):
+_ORDER = pa.schema([("shard", pa.int64()), ("source_no", pa.int32()), ("first", pa.int64()), ("count", pa.int64())])
+
+
+def _settled(draws: np.ndarray, drawn: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = settle(*(column(b, c).to_numpy() for c in ("shard", "source_no", "count", "first")), draws, drawn)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ORDER)], schema=_ORDER)
+
+    return run
+
+
+def _orders(spark: SparkSession, sources: list[Source], seed: int) -> DataFrame:
+    """shard, source_no, first, count, place and filled: how many draws of which source stand where in which shard."""
+    draws = np.array([s.draws for s in sources], np.int64)
+    total = int(draws.sum())
+    shards = max(1, -(-total // SHARD_BLOCKS))
+    if not total:
+        return spark.createDataFrame([], "shard long, source_no int, first long, count long, place long, filled long")
+    drawn = np.zeros(len(sources), np.int64)
+    counts = cut(spark.range(shards).toDF("shard").mapInArrow(_drawn(draws, shards, seed), "shard long, source_no int, count long"))
+    sums = counts.groupBy("source_no").agg(F.sum("count").alias("drawn")).toPandas()  # a row for each source
+    drawn[sums["source_no"]] = sums["drawn"]
+    earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    settled = counts.withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0))).mapInArrow(_settled(draws, drawn), "shard long, source_no int, first long, count long")
+    ahead = Window.partitionBy("shard").orderBy("source_no", "first").rowsBetween(Window.unboundedPreceding, -1)
+    return settled.withColumn("place", F.coalesce(F.sum("count").over(ahead), F.lit(0))).withColumn("filled", F.expr(f"{total} * (shard + 1) div {shards} - {total} * shard div {shards}"))
+
+
+def _slot_rows(blocks: np.ndarray, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, source, first, count, place, filled in zip(*(column(b, c).to_pylist() for c in ("shard", "source_no", "first", "count", "place", "filled")), strict=True):
-                n = blocks[source]
+                n = int(blocks[source])
                 draws = np.arange(first, first + count, dtype=np.int64)
                 epoch = draws // n
                 block = np.empty(count, np.int64)
@@ -154,38 +203,53 @@ def _slot_rows(blocks: dict[int, int], seed: int):
                     block[at] = permute(draws[at] % n, n, _seed(seed, source, e))
                 slot = permute(np.arange(place, place + count), filled, _seed(seed, 1 << 40, shard))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(count, shard), pa.int32()), pa.array(slot), pa.array(np.full(count, source), pa.int32()), pa.array(block), pa.array(epoch)],
+                    [pa.array(np.full(count, shard)), pa.array(slot), pa.array(np.full(count, source), pa.int32()), pa.array(block), pa.array(epoch)],
                     names=["shard", "slot", "source_no", "block", "epoch"],
                 )
 
     return run
 
 
+def _by_number(spark: SparkSession, sources: list[Source], rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a row for each source, broadcast where it is small."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if sum(64 + len(s.name or "") for s in sources) <= SENT_BYTES else df
+
+
+def _each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each of the copies from ``first_copy`` on that travel together."""
+    last = F.least(F.col("copies"), F.col("first_copy") + COPIES) - 1
+    return rows.withColumn("copy", F.explode(F.sequence("first_copy", last)))
+
+
 def mix_sources(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 11
 ) -> Mix:
     """Plan a mix of all ``documents``: which word ranges stand in which slot of which shard.
 
     Words are runs of anything but blanks and \\x09-\\x0D; a null or empty text has none and takes
-    no part, but stays in ``rows``. Sources are ordered by code point with null last; there is a row
-    for each on the driver. Repeated rows are documents of their own. An empty table gives an
-    empty mix. Other columns are left out. The same input gives the same mix.
+    no part, but stays in ``rows``. Sources are ordered by code point with null last; the driver holds
+    a name and a few numbers of each. Repeated rows are documents of their own, told apart by a copy
+    number. An empty table gives an empty mix. Other columns are left out. The same input gives the same mix.
     """
     spark = documents.sparkSession
-    rows = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long"))
-    found = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
-    sources = _sources(found, weights, most, block_words)
-    (n,) = scalars(rows, F.count("*"))
-    numbers = F.broadcast(spark.createDataFrame([(s.name, s.number) for s in sources], "name string, source_no int"))
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    rows = rows.join(numbers, rows["source"].eqNullSafe(numbers["name"])).drop("name").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(buckets)))
+    thin = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long")
+    rows = cut(thin.groupBy("source", "doc_id", "text_hash", "size").agg(F.count("*").alias("copies")))
+    found = [(r[0], int(r[1]), int(r[2])) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")), F.sum("copies")).collect()]
+    sources = _sources([(name, size) for name, size, _ in found], weights, most, block_words)
+    numbers = _by_number(spark, sources, [(s.name, s.number) for s in sources], "name string, source_no int")
+    rows = rows.join(numbers, rows["source"].eqNullSafe(numbers["name"])).drop("name", "source")
+    buckets = max(1, -(-sum(n for _, _, n in found) // BUCKET_ROWS))
+    first_copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long")))
+    bucket = F.pmod(F.xxhash64("doc_id", "text_hash", "first_copy", F.lit(seed)), F.lit(buckets))
+    together = rows.where("size > 0").withColumn("first_copy", first_copy).withColumn("bucket", bucket)
     # Words before a document in its source: those of earlier buckets, then those before it in its bucket.
-    held = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+    held = together.groupBy("source_no", "bucket").agg(F.sum(F.col("size") * F.least(F.lit(COPIES), F.col("copies") - F.col("first_copy"))).alias("words"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("source_no", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        rows.where("size > 0")
+        _each_copy(together.repartition("source_no", "bucket"))
         .withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(held, ["source_no", "bucket"])
         .withColumn("at", F.col("base") + F.col("before"))
@@ -196,21 +260,16 @@ def mix_sources(
         placed.withColumn("block", block)
         .withColumn("first_word", start - F.col("at"))
         .withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - start)
-        .select("source_no", "block", "doc_id", "text_hash", "at", "first_word", "words")
+        .select("source_no", "block", "doc_id", "text_hash", "copy", "first_word", "words")
     )
-    total = sum(s.draws for s in sources)
-    shards = int(min(MOST_SHARDS, max(1, -(-total // SHARD_BLOCKS))))
-    counts = _draw(sources, shards, _seed(seed)) if sources else np.zeros((0, 0), np.int64)
-    firsts, places, filled = np.cumsum(counts, 0) - counts, np.cumsum(counts, 1) - counts, counts.sum(1) if counts.size else []
-    drawn = [(int(k), int(s), int(firsts[k, s]), int(counts[k, s]), int(places[k, s]), int(filled[k])) for k, s in zip(*np.nonzero(counts), strict=True)]
-    orders = spark.createDataFrame(drawn, "shard int, source_no int, first long, count long, place long, filled long")
-    # A row for each shard and source is cut into orders of bounded size where the rows are.
-    orders = orders.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(TASK_SLOTS).cast("long")))).select(
+    # A shard's draws of a source are cut into orders of bounded size.
+    skip = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(TASK_SLOTS).cast("long")))
+    orders = _orders(spark, sources, _seed(seed)).withColumn("skip", skip).select(
         "shard", "source_no", (F.col("first") + F.col("skip")).alias("first"), F.least(F.lit(TASK_SLOTS), F.col("count") - F.col("skip")).alias("count"), (F.col("place") + F.col("skip")).alias("place"), "filled"
     )
-    tasks = max(1, min(MOST_TASKS, -(-total // (4 * TASK_SLOTS))))
+    tasks = max(1, min(MOST_TASKS, -(-sum(s.draws for s in sources) // (4 * TASK_SLOTS))))
     slots = orders.repartition(tasks, "shard", "source_no", "first").mapInArrow(
-        _slot_rows({s.number: s.blocks for s in sources}, seed), "shard int, slot long, source_no int, block long, epoch long"
+        _slot_rows(np.array([s.blocks for s in sources], np.int64), seed), "shard long, slot long, source_no int, block long, epoch long"
     )
     return Mix(rows, sources, segments, slots)
 
@@ -221,9 +280,16 @@ def _large(df: DataFrame) -> DataFrame:
 
 
 def taken_words(mix: Mix) -> DataFrame:
-    """doc_id, text_hash, at and how many of the document's words the mix takes, repeats counted."""
+    """source_no, doc_id, text_hash, copy and how many of that document's words the mix takes, repeats counted."""
     times = mix.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    return mix.segments.join(_large(times), ["source_no", "block"]).groupBy("source_no", "doc_id", "text_hash", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    return mix.segments.join(_large(times), ["source_no", "block"]).groupBy("source_no", "doc_id", "text_hash", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+
+
+def _ranges(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """The words of these (first, number) ranges, with what stands between them; ranges joined by a blank."""
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
+    starts, ends = np.flatnonzero(~blank & np.r_[True, blank[:-1]]), np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+    return b" ".join(raw[starts[a] : ends[a + n - 1]] for a, n in ranges)
 
 
 def mixed_documents(documents: DataFrame, mix: Mix) -> DataFrame:
@@ -231,58 +297,55 @@ def mixed_documents(documents: DataFrame, mix: Mix) -> DataFrame:
 
     Where an epoch takes the whole document, the text is unchanged; else the taken ranges are
     joined by a blank. Columns are those of ``documents``, n_chars (if there) set anew. Of rows
-    equal in doc_id, source and text, one carries the pieces of all.
+    equal in doc_id, source and text, the one of the least hash over all columns stands for all.
     """
     names = documents.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    number = {s.name: s.number for s in mix.sources}
+    schema = schema_of(documents, set(), "")
+    by_no, by_name, by_id, by_hash, copy_no, epochs = fresh(documents, "source_no", "name", "mix_id", "text_hash", "copy", "epochs")
     pieces = (
         mix.segments.join(_large(mix.slots), ["source_no", "block"])
-        .groupBy("doc_id", "text_hash", "source_no", "epoch")
+        .groupBy("doc_id", "text_hash", "source_no", "copy", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("pieces"))
         .groupBy("doc_id", "text_hash", "source_no")
-        .agg(F.sort_array(F.collect_list(F.struct("epoch", "pieces"))).alias("epochs"))
+        .agg(F.sort_array(F.collect_list(F.struct("epoch", "copy", "pieces"))).alias(epochs))
+        .select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("source_no").alias("of_no"), epochs)
     )
-    names_of = F.broadcast(documents.sparkSession.createDataFrame([(k, v) for k, v in number.items()], "mix_name string, mix_no int"))
-    same = Window.partitionBy("mix_id", "mix_hash", "mix_no").orderBy(F.lit(1))
+    numbers = _by_number(documents.sparkSession, mix.sources, [(s.name, s.number) for s in mix.sources], f"{by_name} string, {by_no} int")
+    same = Window.partitionBy(by_id, by_hash, by_no).orderBy(F.xxhash64(*names))
     one = (
-        documents.join(names_of, documents["source"].eqNullSafe(names_of["mix_name"]))
-        .withColumns({"mix_id": F.col("doc_id").cast("long"), "mix_hash": F.xxhash64("text")})
-        .withColumn("mix_copy", F.row_number().over(same))
-        .where("mix_copy = 1")
+        documents.join(numbers, documents["source"].eqNullSafe(numbers[by_name]))
+        .withColumns({by_id: F.col("doc_id").cast("long"), by_hash: F.xxhash64("text")})
+        .withColumn(copy_no, F.row_number().over(same))
+        .where(F.col(copy_no) == 1)
     )
     pieces = _large(pieces)
-    both = one.join(pieces, one["mix_id"].eqNullSafe(pieces["doc_id"]) & (one["mix_hash"] == pieces["text_hash"]) & (one["mix_no"] == pieces["source_no"])).select(
-        *(one[c] for c in names), pieces["epochs"]
-    )
+    both = one.join(pieces, one[by_id].eqNullSafe(pieces["of_id"]) & (one[by_hash] == pieces["of_hash"]) & (one[by_no] == pieces["of_no"])).select(*(one[c] for c in names), pieces[epochs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, OUT_ROWS // 16) for i in range(0, whole.num_rows, OUT_ROWS // 16)):
                 take, texts = [], []
-                for i, (text, epochs) in enumerate(zip(column(b, "text").to_pylist(), column(b, "epochs").to_pylist(), strict=True)):
-                    raw = text.encode("utf-8")
-                    words = raw.split()
-                    for e in epochs:
+                for i, (text, of) in enumerate(zip(column(b, "text"), column(b, epochs), strict=True)):
+                    raw = text.as_buffer().to_pybytes()
+                    size = count_words(raw)
+                    for e in of.as_py():
                         ranges = [(p["first_word"], p["words"]) for p in e["pieces"]]
                         take.append(i)
-                        whole_text = sum(n for _, n in ranges) == len(words)
-                        texts.append(text if whole_text else b" ".join(w for a, n in ranges for w in words[a : a + n]).decode("utf-8"))
+                        texts.append(raw if sum(n for _, n in ranges) == size else _ranges(raw, ranges))
                 out = b.take(pa.array(take, pa.int32()))
-                own = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+                text = pa.array(texts, pa.binary()).cast(pa.string())
+                own = {"text": text, "n_chars": pc.utf8_length(text)}
                 yield pa.RecordBatch.from_arrays([own[n].cast(column(out, n).type) if n in own else column(out, n) for n in names], names=names)
 
-    return both.mapInArrow(run, fields)
+    return both.mapInArrow(run, schema)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
-    of_source = F.broadcast(spark.createDataFrame([(s.number, s.size, s.target) for s in mix.sources], "source_no int, source_size long, target double"))
-    # Copies of a row can't be told apart: their words are dealt out evenly, the first ones taking what is left over.
-    copies = mix.rows.groupBy("source_no", "doc_id", "text_hash", "size").agg(F.count("*").alias("copies"))
-    taken = taken_words(mix).groupBy("source_no", "doc_id", "text_hash").agg(F.sum("taken").alias("words")).hint("merge")
-    same = (copies["source_no"] == taken["source_no"]) & copies["doc_id"].eqNullSafe(taken["doc_id"]) & (copies["text_hash"] == taken["text_hash"])
-    each = copies.join(taken, same, "left").select(copies["source_no"], copies["doc_id"], "size", "copies", F.coalesce("words", F.lit(0)).alias("words"))
-    rows = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    share = F.expr("words div copies + if(copy <= words % copies, 1L, 0L)")
-    return rows.join(of_source, "source_no").select("doc_id", "size", "source_size", "target", share.alias("taken"))
+    of_source = _by_number(spark, mix.sources, [(s.number, s.size, s.target) for s in mix.sources], "source_no int, source_size long, target double")
+    first_copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long")))
+    rows = _each_copy(mix.rows.withColumn("first_copy", first_copy))
+    taken = taken_words(mix).hint("merge")
+    same = (rows["source_no"] == taken["source_no"]) & rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows["text_hash"] == taken["text_hash"]) & (rows["copy"] == taken["copy"])
+    each = rows.join(taken, same, "left").select(rows["source_no"], rows["doc_id"], "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return each.join(of_source, "source_no").select("doc_id", "size", "source_size", "target", "taken")
