@@ -1,14 +1,16 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint becomes its bit counts in 32 segments of two bits. The Manhattan distance of two
-such points never exceeds the Hamming distance of the fingerprints, and if that is at most 5, one
-half of the segments is within 2. Points are put on the grid of each half: every point is filed at
-its own cell and at all cells one step away, so that two points within 2 meet at a cell half-way.
-What meets in a cell is verified exactly on the fingerprints.
+A fingerprint becomes its bit counts in segments of two bits (of one bit where there are very many
+fingerprints). The Manhattan distance of two such points never exceeds the Hamming distance of the
+fingerprints, and if that is at most 5, one half of the segments is within 2. Points are put on
+the grid of each half: every point is filed at its own cell and at all cells one step away, so that
+two points within 2 meet at a cell half-way. What meets in a cell is verified exactly on the
+fingerprints.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,50 +19,79 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, table
+from .common import column, cut, fresh, scalars, table
 from .components import components
 
 SHINGLE_WORDS, MOST_BITS, HASH_SEED = 4, 4, 42
 #: The grid meets all pairs up to this distance.
 REACH = 5
-#: Shingles whose bits are counted at once; rows of cells that are looked through at once.
-COUNT_ROWS, CELL_ROWS = 1 << 15, 1 << 20
+#: Shingles whose bits are counted at once; bytes of a text that are cut into words at once.
+COUNT_ROWS, SLICE_BYTES = 1 << 15, 1 << 18
+#: Rows of cells that are looked through at once; rows that a task should get.
+CELL_ROWS, TASK_ROWS = 1 << 20, 1 << 20
+#: Fingerprints from which on segments have one bit: a point meets one in 2^14 others by chance on the coarse
+#: grid, one in 2^23 on the fine one, which has 66 rows a point instead of 47. Both find the same links.
+FINE_GRID = 4_000_000
 #: Cells with more points are searched point by point, each point meeting those not yet reached.
 SMALL_CELL = 32
 
 _EVEN = np.uint64(0x5555555555555555)
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
-def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    parts = (text or "").encode("utf-8").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, HASH_SEED)], np.uint64)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.r_[0, ends[:-1] + 1][: len(parts) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+def _slices(raw: bytes) -> Iterator[bytes]:
+    """The text in parts that end at a blank, so that no word is parted."""
+    start = 0
+    while len(raw) - start > SLICE_BYTES:
+        found = _BLANK.search(raw, start + SLICE_BYTES)
+        end = found.start() if found else len(raw)
+        yield raw[start:end]
+        start = end
+    yield raw[start:]
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+def shingle_parts(raw: bytes, words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in order, repeats included, some at a time; a text of fewer words is one shingle."""
+    digest = xxhash.xxh64_intdigest
+    carried: list[bytes] = []
+    some = False
+    for part in _slices(raw):
+        carried += part.lower().split()
+        if len(carried) < words:
+            continue
+        joined = b" ".join(carried)
+        ends = np.cumsum([len(p) + 1 for p in carried]) - 1
+        starts = np.r_[0, ends[:-1] + 1][: len(carried) - words + 1].tolist()
+        yield np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+        some, carried = True, carried[len(carried) - words + 1 :]
+    if carried and not some:
+        yield np.array([digest(b" ".join(carried), HASH_SEED)], np.uint64)
+
+
+def shingle_hashes(raw: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_parts(raw, words)])
+
+
+def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
     """Bits that are set in over half the shingle hashes; 0 for a text without words."""
-    h = shingle_hashes(text, words)
-    if not len(h):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(h), COUNT_ROWS):
-        part = h[i : i + COUNT_ROWS]
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(h), bitorder="little")
+    counts, total = np.zeros(64, np.int64), 0
+    for h in shingle_parts(raw, words):
+        total += len(h)
+        for i in range(0, len(h), COUNT_ROWS):
+            part = h[i : i + COUNT_ROWS]
+            counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * counts > total, bitorder="little")
     return int(bits.view(np.uint64)[0])
 
 
+def raw_text(text: pa.StringScalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t.as_py(), words) for t in column(b, "text")], np.uint64)
+            prints = np.array([fingerprint(raw_text(t), words) for t in column(b, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return run
@@ -71,32 +102,36 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
-def embed(prints: np.ndarray) -> np.ndarray:
-    """Bit counts of the 32 segments, two bits for each, in place."""
-    return prints - ((prints >> np.uint64(1)) & _EVEN)
+def embed(prints: np.ndarray, width: int = 2) -> np.ndarray:
+    """Bit counts of the segments of one or two bits, in place."""
+    return prints if width == 1 else prints - ((prints >> np.uint64(1)) & _EVEN)
 
 
-def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(prints: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): each point's own cell and those one step away, on both half grids."""
     rows, out = [], []
-    points, index = embed(prints), np.arange(len(prints))
+    points, index = embed(prints, width), np.arange(len(prints))
+    most = width
     for half in (0, 1):
         own = ((points >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         base = own | (half << 32)
         rows.append(index), out.append(base)
-        for i in range(0, 32, 2):
-            count = (own >> i) & 3
-            for step, can in ((1, count < 2), (-1, count > 0)):
+        for i in range(0, 32, width):
+            count = (own >> i) & ((1 << width) - 1)
+            for step, can in ((1, count < most), (-1, count > 0)):
                 rows.append(index[can]), out.append(base[can] + (step << i))
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp, node = column(b, "fp").to_numpy(), column(b, "node").to_numpy()
-        for i in range(0, len(fp), 1 << 14):
-            row, cell = cells(fp[i : i + (1 << 14)].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[i + row]), pa.array(node[i + row])], names=["cell", "fp", "node"])
+def _file(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, node = column(b, "fp").to_numpy(), column(b, "node").to_numpy()
+            for i in range(0, len(fp), 1 << 14):
+                row, cell = cells(fp[i : i + (1 << 14)].view(np.uint64), width)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[i + row]), pa.array(node[i + row])], names=["cell", "fp", "node"])
+
+    return run
 
 
 def _reach(fp: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -139,38 +174,46 @@ def _links(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> np.
 def _verify(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, ready = 0, 0  # rows held, and those of them whose cell has surely ended
 
-        def out(cell: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            found = _links(cell, fp.view(np.uint64), node, bits)
+        def out(rows: list[tuple[np.ndarray, ...]], end: int) -> pa.RecordBatch:
+            cell, fp, node = (np.concatenate(x) for x in zip(*rows, strict=True))
+            held[:] = [(cell[end:], fp[end:], node[end:])] if end < len(cell) else []
+            found = _links(cell[:end], fp[:end].view(np.uint64), node[:end], bits)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
 
         for b in batches:
-            held.append(tuple(column(b, c).to_numpy() for c in ("cell", "fp", "node")))
+            if not b.num_rows:
+                continue
+            rows = tuple(column(b, c).to_numpy() for c in ("cell", "fp", "node"))
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last run may go on
+            if last or (held and held[-1][0][-1] != rows[0][0]):
+                ready = size + last
+            held.append(rows)
             size += b.num_rows
-            if size >= CELL_ROWS:
-                cell, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
-                whole = int(np.searchsorted(cell, cell[-1], "left"))  # the last run may go on
-                if whole:
-                    yield out(cell[:whole], fp[:whole], node[:whole])
-                held, size = [(cell[whole:], fp[whole:], node[whole:])], len(cell) - whole
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if ready >= CELL_ROWS:
+                yield out(held, ready)
+                size, ready = size - ready, 0
+        if size:
+            yield out(held, size)
 
     return run
 
 
-def link_components(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp and component_id for rows of doc_id and fp (cut already, as they are read three times).
+def link_components(prints: DataFrame, bits: int = MOST_BITS, width: int | None = None) -> DataFrame:
+    """doc_id, fp and component_id for rows of doc_id and fp (cut already, as they are read several times).
 
     Equal fingerprints are one node, named by the smallest doc_id; a node's links inside a cell
-    are a forest, which keeps every connection without listing all pairs.
+    are a forest, which keeps every connection without listing all pairs. ``width`` (1 or 2) is the
+    bits of a segment, by default as many as the number of fingerprints asks for; links are the same.
     """
     if bits > REACH:
         raise ValueError(f"the grid meets pairs up to {REACH} bits")
-    nodes = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    filed = nodes.mapInArrow(_file, "cell long, fp long, node long")
-    parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    (n,) = scalars(nodes, F.count("*"))
+    width = width or (2 if n < FINE_GRID else 1)
+    filed = nodes.mapInArrow(_file(width), "cell long, fp long, node long")
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (47 if width == 2 else 66) // TASK_ROWS))
     links = filed.repartition(parts, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_verify(bits), "u long, v long")
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
@@ -188,12 +231,15 @@ def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS, bits: int
 
 
 def smallest(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component_id in ``found``, each id once; null ids pass."""
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = documents["doc_id"].cast("long") == kept["kept_id"]
-    copy = Window.partitionBy("kept_id").orderBy(F.lit(1))
-    one = documents.join(kept, own).withColumn("kept_copy", F.row_number().over(copy)).where("kept_copy = 1").select(documents.columns)
-    return one.unionByName(documents.where("doc_id IS NULL"))
+    """The documents whose doc_id is their component_id in ``found``, each id once; null ids pass.
+
+    Of rows that repeat an id the one of the least hash over all columns stays.
+    """
+    kept_id, copy_no = fresh(documents, "kept_id", "copy")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    copy = Window.partitionBy(kept_id).orderBy(F.xxhash64(*documents.columns))
+    one = documents.join(kept, documents["doc_id"].cast("long") == kept[kept_id]).withColumn(copy_no, F.row_number().over(copy))
+    return one.where(F.col(copy_no) == 1).select(documents.columns).unionByName(documents.where("doc_id IS NULL"))
 
 
 def keep_one(documents: DataFrame, words: int = SHINGLE_WORDS, bits: int = MOST_BITS) -> DataFrame:

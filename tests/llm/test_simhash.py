@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from shardlake.llm.components import components
-from shardlake.llm.simhash import _links, cells, embed, fingerprint, keep_one, link_components, near_duplicates, op6_simhash
+from shardlake.llm.simhash import _links, cells, embed, fingerprint, keep_one, link_components, near_duplicates, op6_simhash, shingle_hashes
 
 
 def slow_fingerprint(text):
@@ -41,29 +41,56 @@ def slow_components(ids, prints, bits=4):
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("ab É\n\t\x0b\xa0"), max_size=60))
 def test_fingerprints(text):
-    assert fingerprint(text) == slow_fingerprint(text)
+    assert fingerprint(text.encode()) == slow_fingerprint(text)
+
+
+@pytest.mark.parametrize("size", [1, 5, 64])
+def test_slices_change_nothing(monkeypatch, size):
+    from shardlake.llm import simhash
+
+    text = " ".join("word" * (i % 7) + str(i % 11) for i in range(300)) + "\n\t"
+    whole = shingle_hashes(text.encode(), 5)
+    monkeypatch.setattr(simhash, "SLICE_BYTES", size)
+    assert shingle_hashes(text.encode(), 5).tolist() == whole.tolist() and len(whole) == len(text.split()) - 4
+    assert fingerprint(text.encode()) == slow_fingerprint(text)
+    assert [len(shingle_hashes(t, 5)) for t in (b"", b" \n ", b"a", b"a b c d e", b"a b c d e f")] == [0, 0, 1, 1, 2]
+
+
+def test_cells_across_batches(monkeypatch):
+    import pyarrow as pa
+
+    from shardlake.llm import simhash
+
+    rng = np.random.default_rng(5)
+    cell = np.sort(rng.integers(0, 12, 400))
+    fp = rng.integers(0, 1 << 10, 400)
+    rows = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 7]) for x in (cell, fp, np.arange(400))], names=["cell", "fp", "node"]) for i in range(0, 400, 7)]
+    monkeypatch.setattr(simhash, "CELL_ROWS", 30)
+    got = {tuple(e) for b in simhash._verify(2)(iter(rows)) for e in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)}
+    assert got == {tuple(e) for e in _links(cell, fp.view(np.uint64), np.arange(400), 2).tolist()}
 
 
 def test_spark_hash_is_the_same(spark):
     from pyspark.sql import functions as F
 
     got = spark.createDataFrame([("the end of the",)], "t string").select(F.xxhash64("t")).first()[0]
-    assert got % 2**64 == fingerprint("The END of  the")
+    assert got % 2**64 == fingerprint(b"The END of  the")
 
 
-def test_points_within_reach_meet():
+@pytest.mark.parametrize("width", [1, 2])
+def test_points_within_reach_meet(width):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**64, 300, dtype=np.uint64)
     b = a.copy()
     for i in range(300):
         for bit in rng.choice(64, i % 6, replace=False):
             b[i] ^= np.uint64(1 << int(bit))
-    rows_a, cells_a = cells(a)
-    rows_b, cells_b = cells(b)
+    rows_a, cells_a = cells(a, width)
+    rows_b, cells_b = cells(b, width)
     for i in range(300):
         assert set(cells_a[rows_a == i]) & set(cells_b[rows_b == i])
-        pa, pb = (int(embed(x[i : i + 1])[0]) for x in (a, b))
-        manhattan = sum(abs((pa >> s & 3) - (pb >> s & 3)) for s in range(0, 64, 2))
+        pa, pb = (int(embed(x[i : i + 1], width)[0]) for x in (a, b))
+        manhattan = sum(abs((pa >> s & 2 * width - 1) - (pb >> s & 2 * width - 1)) for s in range(0, 64, width))
         assert manhattan <= int(np.bitwise_count(a[i] ^ b[i]))
 
 
@@ -86,7 +113,8 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_dense_groups(spark):
+@pytest.mark.parametrize("width", [1, 2])
+def test_dense_groups(spark, width):
     rng, prints = np.random.default_rng(1), []
     for base in rng.integers(0, 2**63, 20):
         for _ in range(25):
@@ -96,7 +124,7 @@ def test_dense_groups(spark):
             prints.append(x)
     ids = list(range(len(prints)))
     df = spark.createDataFrame(list(zip(ids, np.array(prints, np.uint64).view(np.int64).tolist(), strict=True)), "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in link_components(df).collect()}
+    got = {r.doc_id: r.component_id for r in link_components(df, width=width).collect()}
     assert [got[i] for i in ids] == slow_components(ids, prints)
     with pytest.raises(ValueError):
         link_components(df, 6)
