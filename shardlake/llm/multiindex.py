@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import column, cut, table
 
 #: Centroids of a half for each square root of the vectors, and at most (their pairs' counts pass through the driver).
-CENTROIDS_ROOT, MOST_CENTROIDS = 2.0, 1_024
+CENTROIDS_ROOT, MOST_CENTROIDS = 1.0, 1_024
 #: Vectors that the codebooks are fitted on at most; rounds of fitting.
 FIT_ROWS, FIT_ROUNDS, SEED = 20_000, 12, 5
 #: Recall that a walk aims at; queries that are answered exactly to find how deep it must go; room on top of that.
@@ -129,10 +129,10 @@ def _placed(books: Codebooks, dims: int):
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of q with the rows of v, each summed from the first component to the last."""
+    """Inner products of q (a vector, or one for each row of v) with the rows of v, each summed from the first component to the last."""
     out = np.zeros(len(v))
-    for k in range(len(q)):
-        out += q[k] * v[:, k]
+    for k in range(v.shape[1]):
+        out += q[..., k] * v[:, k]
     return out
 
 
@@ -216,23 +216,22 @@ def _block_of(first: np.ndarray, parts: np.ndarray):
     return run
 
 
-def _best(books: Codebooks, held: tuple[np.ndarray, ...], rows: np.ndarray, q: np.ndarray, levels: np.ndarray, nearest: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each query the nearest of the held vectors whose cells lie below its level."""
+def _best(books: Codebooks, held: tuple[np.ndarray, ...], rows: np.ndarray, q: np.ndarray, levels: np.ndarray, nearest: int) -> tuple[np.ndarray, ...]:
+    """For each query the nearest of the held vectors whose cells lie below its level: query, row, id and score."""
     own, ids, v, cell = held
     a, b = books.distances(q)
     scores = q @ v.T
     first, second = np.divmod(cell, len(books.second))
     scores[(a[:, first] + b[:, second] >= levels[:, None]) | (rows[:, None] == own[None, :])] = -np.inf
-    length = np.sqrt((v * v).sum(1).max())
-    for k in range(len(q)):
-        row = scores[k]
-        # Whatever may be among the nearest after exact summing, ties included.
-        slack = 1e-12 * len(q[k]) * length * np.sqrt((q[k] * q[k]).sum())
-        level = np.partition(row, len(row) - nearest)[len(row) - nearest] - slack if len(row) > nearest else -np.inf
-        near = np.flatnonzero((row >= level) & (row > -np.inf))
-        exact = products(q[k], v[near])
-        best = np.lexsort((own[near], ids[near], -exact))[:nearest]
-        yield np.full(len(best), k), own[near][best], ids[near][best], exact[best]
+    # Whatever may be among the nearest after exact summing, ties included.
+    slack = 1e-12 * v.shape[1] * np.sqrt((v * v).sum(1).max()) * np.sqrt((q * q).sum(1))
+    level = np.partition(scores, len(v) - nearest, axis=1)[:, len(v) - nearest] - slack if len(v) > nearest else np.full(len(q), -np.inf)
+    at, near = np.nonzero((scores >= level[:, None]) & (scores > -np.inf))
+    exact = np.concatenate([np.zeros(0), *(products(q[at[i : i + BLOCK_ROWS]], v[near[i : i + BLOCK_ROWS]]) for i in range(0, len(at), BLOCK_ROWS))])
+    order = np.lexsort((own[near], ids[near], -exact, at))
+    at, near, exact = at[order], near[order], exact[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < nearest
+    return at[best], own[near[best]], ids[near[best]], exact[best]
 
 
 def _ranked(books: Codebooks, dims: int, nearest: int):
@@ -256,7 +255,7 @@ def _ranked(books: Codebooks, dims: int, nearest: int):
                 for k in range(0, b.num_rows, QUERY_ROWS):
                     c = b.slice(k, QUERY_ROWS)
                     rows = column(c, "row").to_numpy()
-                    found = [np.concatenate(x) for x in zip(*_best(books, held, rows, _matrix(column(c, "vec"), dims), column(c, "level").to_numpy(), nearest), strict=True)]
+                    found = _best(books, held, rows, _matrix(column(c, "vec"), dims), column(c, "level").to_numpy(), nearest)
                     at = pa.array(found[0])
                     yield pa.RecordBatch.from_arrays(
                         [column(c, "row").take(at), column(c, "vec_id").take(at), *map(pa.array, found[1:])], names=["row", "query_id", "other", "vec_id", "score"]
