@@ -1,6 +1,7 @@
 """ISO media containers: nested boxes, sample tables, codec, duration and keyframe byte ranges.
 
-Readers look only at box headers and sample tables; payload bytes are never decoded. A
+Readers look only at box headers, sample tables and fragment runs; payload bytes are never decoded.
+All lengths and counts that a file states are held against its bytes before they are believed. A
 writer for one-track raw 8-bit files makes the round trip testable.
 """
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, rows_to_arrow, table
+from .common import OUT_ROWS, column, rows_to_arrow, schema_of, table
 
-#: Boxes that hold other boxes, and how many bytes of own fields stand before those.
-CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
+#: Boxes that hold other boxes.
+CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
+#: Containers inside each other, far more than the format has.
+DEEPEST = 32
 UNIT = 64
 KEYFRAME_EVERY = 16
 UNITS_PER_CHUNK = 16
@@ -40,32 +43,73 @@ class Box:
     path: tuple[bytes, ...]
 
 
+@dataclass
+class Piece:
+    """Samples of one sample table or fragment run: chunks that lie together, and sizes that are all one or a list."""
+
+    offsets: np.ndarray  # of each chunk
+    first: np.ndarray  # each chunk's first sample
+    count: int
+    size: int = 0
+    ends: np.ndarray | None = None  # of each sample, from the piece's first byte on; None where all have one size
+    sync: np.ndarray | None = None  # keyframes; None where all are
+
+    def _end(self, sample: np.ndarray) -> np.ndarray:
+        """Bytes of all samples before these."""
+        return sample * self.size if self.ends is None else np.r_[0, self.ends][sample]
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each chunk's bytes."""
+        bytes_before = self._end(np.r_[self.first, self.count])
+        return self.offsets, self.offsets + np.diff(bytes_before)
+
+    def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and length of each keyframe; where all samples are, of each chunk as one."""
+        if self.sync is None:
+            begin, end = self.ranges()
+            return begin[end > begin], (end - begin)[end > begin]
+        chunk = np.searchsorted(self.first, self.sync, "right") - 1
+        before = self._end(self.sync)
+        return self.offsets[chunk] + before - self._end(self.first[chunk]), self._end(self.sync + 1) - before
+
+    def check(self, length: int) -> None:
+        begin, end = self.ranges()
+        if (begin < 0).any() or (end < begin).any() or (len(end) and end.max() > length):
+            raise MediaError("samples outside the file")
+
+
 @dataclass
 class Track:
+    number: int = 0
     handler: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    sync: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pieces: list[Piece] = field(default_factory=list)
+
+    @property
+    def samples(self) -> int:
+        return sum(p.count for p in self.pieces)
 
     def keyframes(self) -> list[tuple[int, int]]:
-        return list(zip(self.offsets[self.sync].tolist(), self.sizes[self.sync].tolist(), strict=True))
+        return [k for p in self.pieces for k in zip(*(x.tolist() for x in p.keyframes()), strict=True)]
 
     def extents(self) -> Iterator[tuple[int, int]]:
-        """Byte ranges (start, end) of the samples in order, neighbours merged."""
-        if not len(self.offsets):
-            return
-        ends = self.offsets + self.sizes
-        breaks = np.flatnonzero(self.offsets[1:] != ends[:-1]) + 1
-        yield from zip(self.offsets[np.r_[0, breaks]].tolist(), ends[np.r_[breaks - 1, len(ends) - 1]].tolist(), strict=True)
+        """Byte ranges (begin, end) of the samples in order, neighbours merged."""
+        for p in self.pieces:
+            begin, end = p.ranges()
+            if len(begin):
+                breaks = np.flatnonzero(begin[1:] != end[:-1]) + 1
+                yield from zip(begin[np.r_[0, breaks]].tolist(), end[np.r_[breaks - 1, len(end) - 1]].tolist(), strict=True)
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[Box]:
+def walk(data: memoryview) -> Iterator[Box]:
     """Every box in file order, parents before children. Sizes 0 (to the end) and 1 (64 bits) count."""
-    end = len(data) if end is None else end
-    while start < end:
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start == end:
+            continue
         if end - start < 8:
             raise MediaError("a box header is cut off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -80,16 +124,33 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
         if size < body - start or start + size > end:
             raise MediaError(f"box {kind!r} passes its parent's end")
         yield Box(kind, start, body, start + size, path)
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body + CONTAINERS[kind], start + size, (*path, kind))
-        start += size
+            if len(path) >= DEEPEST:
+                raise MediaError("boxes are nested too deeply")
+            todo.append((body, start + size, (*path, kind)))
+
 
+class _Reader:
+    """Numbers of one box, never beyond its end."""
 
-def _table(data: memoryview, at: int, end: int, count: int, dtype: str, width: int = 1) -> np.ndarray:
-    need = count * width * np.dtype(dtype).itemsize
-    if at + need > end:
-        raise MediaError("a sample table is cut off")
-    return np.frombuffer(data, dtype, count * width, at).reshape(count, width).astype(np.int64)
+    def __init__(self, data: memoryview, box: Box) -> None:
+        self.data, self.at, self.end = data, box.body, box.end
+
+    def take(self, form: str) -> tuple:
+        if self.at + struct.calcsize(form) > self.end:
+            raise MediaError("a box is cut off")
+        out = struct.unpack_from(form, self.data, self.at)
+        self.at += struct.calcsize(form)
+        return out
+
+    def one(self, form: str = ">I"):
+        return self.take(form)[0]
+
+    def table(self, count: int, dtype: str, width: int = 1) -> np.ndarray:
+        if count * width * np.dtype(dtype).itemsize > self.end - self.at:
+            raise MediaError("a sample table is cut off")
+        return np.frombuffer(self.data, dtype, count * width, self.at).reshape(count, width).astype(np.int64)
 
 
 class _Tables:
@@ -98,41 +159,47 @@ class _Tables:
     def __init__(self) -> None:
         self.track = Track()
         self.runs = self.chunks = self.sizes = self.sync = None
-
-    def take(self, data: memoryview, box: Box) -> None:
-        kind, at, end = box.kind, box.body, box.end
-        word = lambda n: struct.unpack_from(">I", data, at + 4 * n)[0]
-        if end - at < 8:
-            raise MediaError(f"box {kind!r} is cut off")
-        if kind == b"mdhd":
-            wide = data[at] == 1
-            self.track.timescale, self.track.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+        self.each = self.count = 0
+
+    def take(self, kind: bytes, r: _Reader) -> None:
+        version = r.one() >> 24
+        if kind == b"tkhd":
+            r.take(">QQ" if version == 1 else ">II")
+            self.track.number = r.one()
+        elif kind == b"mdhd":
+            r.take(">QQ" if version == 1 else ">II")
+            self.track.timescale, self.track.duration = r.take(">IQ" if version == 1 else ">II")
         elif kind == b"hdlr":
-            self.track.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
+            r.take(">I")
+            self.track.handler = r.one(">4s").decode("latin-1")
         elif kind == b"stsd":
-            if word(1) and end - at >= 16:
-                self.track.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
+            if r.one():
+                r.take(">I")
+                self.track.codec = r.one(">4s").decode("latin-1")
         elif kind == b"stsc":
-            self.runs = _table(data, at + 8, end, word(1), ">u4", 3)
+            self.runs = r.table(r.one(), ">u4", 3)
         elif kind in (b"stco", b"co64"):
-            self.chunks = _table(data, at + 8, end, word(1), ">u4" if kind == b"stco" else ">u8")[:, 0]
+            self.chunks = r.table(r.one(), ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stsz":
-            each, count = word(1), word(2)
-            self.sizes = np.full(count, each, np.int64) if each else _table(data, at + 12, end, count, ">u4")[:, 0]
+            self.each, self.count = r.take(">II")
+            self.sizes = None if self.each else r.table(self.count, ">u4")[:, 0]
         elif kind == b"stz2":
-            bits, count = word(1) & 255, word(2)
+            bits, self.count = r.take(">II")
+            self.each, bits = 0, bits & 255
             if bits == 4:
-                packed = _table(data, at + 12, end, (count + 1) // 2, "u1")[:, 0]
-                self.sizes = np.stack([packed >> 4, packed & 15], 1).reshape(-1)[:count]
+                packed = r.table((self.count + 1) // 2, "u1")[:, 0]
+                self.sizes = np.stack([packed >> 4, packed & 15], 1).reshape(-1)[: self.count]
             elif bits in (8, 16):
-                self.sizes = _table(data, at + 12, end, count, ">u1" if bits == 8 else ">u2")[:, 0]
+                self.sizes = r.table(self.count, ">u1" if bits == 8 else ">u2")[:, 0]
             else:
                 raise MediaError("stz2 with an unknown field size")
         elif kind == b"stss":
-            self.sync = _table(data, at + 8, end, word(1), ">u4")[:, 0] - 1
+            self.sync = r.table(r.one(), ">u4")[:, 0] - 1
 
     def resolve(self, length: int) -> Track:
-        track, n = self.track, 0 if self.sizes is None else len(self.sizes)
+        n = self.count
+        if self.sync is not None and len(self.sync) and (self.sync.min() < 0 or self.sync.max() >= n):
+            raise MediaError("a keyframe that is no sample")
         if n:
             if self.runs is None or self.chunks is None or not len(self.runs):
                 raise MediaError("samples without chunks")
@@ -140,41 +207,102 @@ class _Tables:
             spans = np.diff(np.r_[first, len(self.chunks)])
             if first[0] != 0 or (spans < 0).any():
                 raise MediaError("chunk runs out of order")
-            per_chunk = np.repeat(self.runs[:, 1], spans)
-            if per_chunk.sum() < n:
+            held = np.cumsum(np.repeat(self.runs[:, 1], spans))
+            if not len(held) or held[-1] < n:
                 raise MediaError("chunks hold fewer samples than there are")
-            chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-            before = np.cumsum(self.sizes) - self.sizes
-            head = np.r_[True, chunk[1:] != chunk[:-1]]
-            base = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-            track.sizes, track.offsets = self.sizes, self.chunks[chunk] + before - before[base]
-            if (track.offsets < 0).any() or (track.offsets + track.sizes).max() > length:
+            used = int(np.searchsorted(held, n)) + 1
+            firsts = np.r_[0, held[: used - 1]]
+            piece = Piece(self.chunks[:used], firsts, n, self.each, None if self.each else np.cumsum(self.sizes), self.sync)
+            if self.each * n > length:
                 raise MediaError("samples outside the file")
-        # Without a sync table every sample is a keyframe.
-        sync = np.arange(n) if self.sync is None else self.sync
-        if len(sync) and (sync.min() < 0 or sync.max() >= n):
-            raise MediaError("a keyframe that is no sample")
-        track.sync = sync
-        return track
+            piece.check(length)
+            self.track.pieces.insert(0, piece)
+        return self.track
+
+
+class _Fragments:
+    """Runs of samples in movie fragments, which go on with the tracks of the movie box."""
 
+    def __init__(self) -> None:
+        self.defaults: dict[int, tuple[int, int, int]] = {}  # duration, size and flags by track number
+        self.moof = self.next = 0
+        self.number, self.base, self.own = 0, 0, (0, 0, 0)
+        self.found: list[tuple[int, int, Piece]] = []
+
+    def take(self, kind: bytes, box: Box, r: _Reader, length: int) -> None:
+        if kind == b"trex":
+            r.one()
+            number, _, duration, size, flags = r.take(">5I")
+            self.defaults[number] = (duration, size, flags)
+        elif kind == b"tfhd":
+            given = r.one() & 0xFFFFFF
+            self.number = r.one()
+            own = list(self.defaults.get(self.number, (0, 0, 0)))
+            # Without an own base the first track of a fragment counts from its start, later ones go on.
+            self.base = r.one(">Q") if given & 1 else self.moof if given & 0x20000 else self.next
+            if given & 2:
+                r.one()
+            for i, bit in enumerate((8, 16, 32)):
+                if given & bit:
+                    own[i] = r.one()
+            self.own, self.next = (own[0], own[1], own[2]), self.base
+        elif kind == b"trun":
+            given = r.one() & 0xFFFFFF
+            count = r.one()
+            start = self.base + r.one(">i") if given & 1 else self.next
+            head = r.one() if given & 4 else None
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if given & bit]
+            rows = r.table(count, ">u4", len(fields)) if fields else None
+            of = lambda bit: rows[:, fields.index(bit)] if given & bit else None
+            durations, sizes, flags = of(0x100), of(0x200), of(0x400)
+            duration = self.own[0] * count if durations is None else int(durations.sum())
+            if not count:
+                return
+            if sizes is None and (not self.own[1] or self.own[1] * count > length):
+                raise MediaError("a run of samples without a size, or outside the file")
+            # Bit 16 of a sample's flags tells that it is no keyframe.
+            if flags is not None:
+                sync = np.flatnonzero(flags & 0x10000 == 0)
+            else:
+                sync = None if not self.own[2] & 0x10000 else np.zeros(0, np.int64)
+            if head is not None:
+                rest = np.arange(count) if sync is None and count <= length else sync
+                rest = rest[rest > 0]
+                sync = rest if head & 0x10000 else np.r_[0, rest]
+            piece = Piece(np.array([start], np.int64), np.zeros(1, np.int64), count, self.own[1] if sizes is None else 0, None if sizes is None else np.cumsum(sizes), sync)
+            piece.check(length)
+            self.next = int(piece.ranges()[1][0])
+            self.found.append((self.number, duration, piece))
 
-TABLES = frozenset((b"mdhd", b"hdlr", b"stsd", b"stsc", b"stco", b"co64", b"stsz", b"stz2", b"stss"))
+
+TABLES = frozenset((b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stsc", b"stco", b"co64", b"stsz", b"stz2", b"stss"))
+RUNS = frozenset((b"trex", b"tfhd", b"trun"))
 
 
 def probe(data: bytes | memoryview) -> tuple[str, list[Track]]:
     """The major brand and the tracks. Raises ``MediaError`` where the boxes don't add up."""
-    view, brand, tracks, current = memoryview(data), "", [], None
+    view, brand, tables, fragments = memoryview(data), "", [], _Fragments()
     for box in walk(view):
         if box.kind == b"ftyp" and not box.path:
-            brand = bytes(view[box.body : box.body + 4]).decode("latin-1")
+            brand = _Reader(view, box).one(">4s").decode("latin-1")
         elif box.kind == b"trak":
-            current = _Tables()
-            tracks.append(current)
-        elif box.kind in TABLES and current is not None and b"trak" in box.path:
-            current.take(view, box)
-    if not brand and not tracks:
+            tables.append(_Tables())
+        elif box.kind == b"moof":
+            fragments.moof = fragments.next = box.start
+        elif box.kind in TABLES and tables and b"trak" in box.path:
+            tables[-1].take(box.kind, _Reader(view, box))
+        elif box.kind in RUNS and (b"traf" in box.path or b"mvex" in box.path):
+            fragments.take(box.kind, box, _Reader(view, box), len(view))
+    if not brand and not tables:
         raise MediaError("neither a brand nor a track")
-    return brand, [t.resolve(len(view)) for t in tracks]
+    tracks = [t.resolve(len(view)) for t in tables]
+    by_number = {t.number: t for t in tracks}
+    for number, duration, piece in fragments.found:
+        if number not in by_number:
+            raise MediaError("a fragment of no track")
+        by_number[number].pieces.append(piece)
+        by_number[number].duration += duration
+    return brand, tracks
 
 
 def read_samples(data: bytes | memoryview, track: Track) -> bytes:
@@ -230,46 +358,49 @@ def mux(payload: bytes) -> bytes:
     return file_head(size) + _box(b"mdat", payload)
 
 
+_KEYFRAMES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+_TRACK = [("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", _KEYFRAMES)]
+_RANGES = "array<struct<offset:long,length:long>>"
 INDEX_SCHEMA = (
-    "media_brand string, media_codec string, media_handler string, media_timescale long, media_duration long, media_samples long, "
-    "media_keyframes array<struct<offset:long,length:long>>, media_error string"
+    f"media_brand string, media_codec string, media_handler string, media_timescale long, media_duration long, media_samples long, media_keyframes {_RANGES}, "
+    f"media_tracks array<struct<codec:string,handler:string,timescale:long,duration:long,samples:long,keyframes:{_RANGES}>>, media_error string"
 )
-INDEX_NAMES = ("media_brand", "media_codec", "media_handler", "media_timescale", "media_duration", "media_samples", "media_keyframes", "media_error")
-_KEYFRAMES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-_INDEX_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _KEYFRAMES, pa.string())
+INDEX_NAMES = ("media_brand", *(f"media_{name}" for name, _ in _TRACK), "media_tracks", "media_error")
+_INDEX_TYPES = (pa.string(), *(kind for _, kind in _TRACK), pa.list_(pa.struct(_TRACK)), pa.string())
 
 
-def _index(data: bytes | None) -> tuple:
+def _index(data: memoryview | None) -> tuple:
     if data is None:
-        return (None,) * 8
+        return (None,) * len(INDEX_NAMES)
     try:
         brand, tracks = probe(data)
     except MediaError as e:
-        return (None,) * 7 + (str(e),)
+        return (None,) * (len(INDEX_NAMES) - 1) + (str(e),)
     if not tracks:
-        return (brand, None, None, None, None, 0, [], "no track")
-    t = tracks[0]
-    keys = [{"offset": a, "length": n} for a, n in t.keyframes()]
-    return (brand, t.codec, t.handler, t.timescale, t.duration, len(t.sizes), keys, None)
+        return (brand, None, None, None, None, 0, [], [], "no track")
+    rows = [(t.codec, t.handler, t.timescale, t.duration, t.samples, [{"offset": a, "length": n} for a, n in t.keyframes()]) for t in tracks]
+    return (brand, *rows[0], [dict(zip((name for name, _ in _TRACK), r, strict=True)) for r in rows], None)
 
 
 def index_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with the index columns of ``INDEX_NAMES`` for the first track of binary column ``media``.
+    """``df`` with the index columns of ``INDEX_NAMES``: the first track of binary column ``media``, and all tracks.
 
     Null media give null columns; bytes that aren't a readable file give nulls and the reason
-    in ``media_error``. Columns of ``df`` that carry one of these names are replaced.
+    in ``media_error``. Without a sync table all samples are keyframes, told as a range for each chunk.
+    Times of fragments count towards their track's duration. Columns of ``df`` that carry one of these
+    names are replaced.
     """
     df = df.drop(*INDEX_NAMES)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [_index(x.as_py()) for x in column(b, media)]
-            extra = [pa.array(c, type=t) for c, t in zip(zip(*found, strict=True), _INDEX_TYPES, strict=True)] if found else [pa.array([], type=t) for t in _INDEX_TYPES]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, *INDEX_NAMES])
+        for whole in batches:
+            for b in (whole.slice(i, OUT_ROWS // 16) for i in range(0, whole.num_rows, OUT_ROWS // 16)):
+                found = [_index(memoryview(x.as_buffer()) if x.is_valid else None) for x in column(b, media)]
+                extra = [pa.array(c, type=t) for c, t in zip(zip(*found, strict=True), _INDEX_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, *INDEX_NAMES])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, {INDEX_SCHEMA}")
+    return df.mapInArrow(run, schema_of(df, set(), INDEX_SCHEMA))
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -279,12 +410,16 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def features(payload: bytes, track: Track) -> str:
     samples = np.frombuffer(payload, np.uint8)
-    level, energy = int(samples.sum(dtype=np.int64)), int(np.dot(samples.astype(np.float64), samples))
-    turns = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
+    level = energy = 0
+    for i in range(0, len(samples), 1 << 20):
+        part = samples[i : i + (1 << 20)].astype(np.float64)
+        level, energy = level + int(part.sum()), energy + int(np.dot(part, part))
+    high = samples >= 128
+    turns = int(np.count_nonzero(high[1:] != high[:-1]))
     keys = track.keyframes()
     ranges = zlib.crc32(np.array(keys, dtype="<i8").tobytes())
     return (
-        f"codec={track.codec.strip()};handler={track.handler};timescale={track.timescale};duration={track.duration};units={len(track.sizes)};"
+        f"codec={track.codec.strip()};handler={track.handler};timescale={track.timescale};duration={track.duration};units={track.samples};"
         f"keyframes={len(keys)};first_key={keys[0][0]}+{keys[0][1]};key_ranges_crc32={ranges};level={level};energy={energy};crossings={turns}"
     )
 
