@@ -83,6 +83,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def raw_text(text: pa.StringScalar) -> bytes:
+    """The bytes of a text, none of a null."""
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def scalars(df: DataFrame, *exprs) -> tuple:
     """The one row of a global aggregate."""
     return tuple(df.agg(*exprs).first())

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, scalars, table
+from .common import column, raw_text, scalars, schema_of, table
 
-#: Bytes of a passage; most labelled documents that the model is fitted on.
+#: Bytes of a passage, and of the passages that are looked at together.
 PASSAGE_BYTES = 512
-MOST_LABELLED = 6_000
+SLICE_BYTES = 2_048 * PASSAGE_BYTES
+#: Most labelled documents that the model is fitted on, and passages (evenly spaced) of each; scores take all passages.
+MOST_LABELLED, MOST_PASSAGES = 6_000, 128
 HIDDEN, GATE, EPOCHS, BATCH, RATE, SEED = 24, 12, 40, 64, 0.01, 3
 #: Passages that are encoded at once.
 CHUNK = 8_192
@@ -42,32 +44,49 @@ def passages(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros((1, N_FEATURES), np.float32)
     data = np.frombuffer(raw, np.uint8)
-    n = -(-len(data) // PASSAGE_BYTES)
-    of = np.arange(len(data)) // PASSAGE_BYTES
-    kind = _CLASS[data]
-    sizes = np.bincount(of, minlength=n).astype(np.float32)
-    out = np.zeros((n, N_FEATURES), np.float32)
-    out[:, :N_CLASSES] = np.bincount(of * N_CLASSES + kind, minlength=n * N_CLASSES).reshape(n, N_CLASSES) / sizes[:, None]
-    blank = _BLANK[data]
-    first = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    if len(first):
+    out = np.zeros((-(-len(data) // PASSAGE_BYTES), N_FEATURES), np.float32)
+    pairs: list[np.ndarray] = []
+    before = np.zeros((0, 2), np.uint64)  # the beginning of the last word of the slice before
+    for start in range(0, len(data), SLICE_BYTES):
+        part = data[start : start + SLICE_BYTES]
+        n = -(-len(part) // PASSAGE_BYTES)
+        of = np.arange(len(part)) // PASSAGE_BYTES
+        kind = _CLASS[part]
+        sizes = np.bincount(of, minlength=n).astype(np.float32)
+        rows = out[start // PASSAGE_BYTES : start // PASSAGE_BYTES + n]
+        rows[:, :N_CLASSES] = np.bincount(of * N_CLASSES + kind, minlength=n * N_CLASSES).reshape(n, N_CLASSES) / sizes[:, None]
+        # Neighbours of the slice tell where words begin and end; blanks stand around the text.
+        around = np.full(len(part) + 17, 32, np.uint8)
+        around[0] = data[start - 1] if start else 32
+        ahead = data[start : start + len(part) + 16]
+        around[1 : 1 + len(ahead)] = ahead
+        blank = _BLANK[around]
+        inner = ~blank[1 : 1 + len(part)]
+        first, last = np.flatnonzero(inner & blank[: len(part)]), np.flatnonzero(inner & blank[2 : 2 + len(part)])
         words = np.bincount(of[first], minlength=n)
         many = np.maximum(words, 1)
-        last = np.flatnonzero(~blank & np.r_[blank[1:], True])
         end = kind[last]
-        out[:, N_CLASSES] = (sizes - np.bincount(of, blank, minlength=n)) / many / 10
-        out[:, N_CLASSES + 1] = np.bincount(of[first], kind[first] == 1, minlength=n) / many
-        out[:, N_CLASSES + 2] = np.bincount(of[last], end == 5, minlength=n) / many
-        out[:, N_CLASSES + 3] = np.bincount(of[last], (end >= 6) & (end <= 9), minlength=n) / many
-        padded = np.r_[data, np.zeros(16, np.uint8)]
+        rows[:, N_CLASSES] = (np.bincount(of[inner], minlength=n)) / many / 10
+        rows[:, N_CLASSES + 1] = np.bincount(of[first], kind[first] == 1, minlength=n) / many
+        rows[:, N_CLASSES + 2] = np.bincount(of[last], end == 5, minlength=n) / many
+        rows[:, N_CLASSES + 3] = np.bincount(of[last], (end >= 6) & (end <= 9), minlength=n) / many
+        if not len(first):
+            continue
+        padded = np.zeros(len(part) + 16, np.uint8)
+        padded[: len(ahead)] = ahead
         heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 16)[first]).view(np.uint64)
-        pairs = (heads[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ heads[:, 1]
-        size = np.minimum(last - first + 1, 16)
-        again = np.r_[False, (np.diff(heads[:, 0] & _HEAD[size]) == 0) & (np.diff(heads[:, 1] & _TAIL[size]) == 0)]
-        out[:, N_CLASSES + 6] = np.bincount(of[first], again, minlength=n) / many
+        pairs.append((heads[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ heads[:, 1])
+        stop = np.lib.stride_tricks.sliding_window_view(blank[1:], 16)[first]
+        size = np.where(stop.any(1), stop.argmax(1), 16)
+        words_16 = np.stack([heads[:, 0] & _HEAD[size], heads[:, 1] & _TAIL[size]], 1)
+        again = (np.concatenate([before, words_16[:-1]]) == words_16[1 - len(before) :]).all(1)
+        rows[:, N_CLASSES + 6] = np.bincount(of[first[1 - len(before) :]], again, minlength=n) / many
+        before = words_16[-1:]
+    if pairs:
         # How often word beginnings repeat in the whole text is told to each passage.
-        out[:, N_CLASSES + 4] = len(np.unique(pairs)) / len(pairs)
-        out[:, N_CLASSES + 5] = min(1.0, np.log1p(len(first)) / 10)
+        every = np.concatenate(pairs)
+        out[:, N_CLASSES + 4] = len(np.unique(every)) / len(every)
+        out[:, N_CLASSES + 5] = min(1.0, np.log1p(len(every)) / 10)
     return out
 
 
@@ -146,15 +165,18 @@ def held_out(doc_id: Column) -> Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags = [passages((t or "").encode("utf-8")) for t in column(b, "text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "quality"), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "bag"])
+        bags = []
+        for t in column(b, "text"):
+            bag = passages(raw_text(t))
+            bags.append((bag if len(bag) <= MOST_PASSAGES else bag[np.linspace(0, len(bag) - 1, MOST_PASSAGES).astype(int)]).tobytes())
+        yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> AttentionModel:
     """Fit on about ``most`` labelled documents at most, never on held-out ids.
 
     They are those whose hashed doc_id is lowest, so that reruns take the same. Labels that are null
-    don't count; of several for a doc_id the mean decides. Repeated rows of a document are bags of their own.
+    don't count; of several for a doc_id the mean decides. Of rows that repeat a doc_id one is learned from.
     """
     use = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     use = use.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("quality"))
@@ -162,8 +184,9 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
     scale = 1 << 30
     use = use.where(F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(scale)) < F.lit(int(min(1.0, most / max(n, 1)) * scale)))
     picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(use), F.col("doc_id") == use["label_id"])
-    rows = picked.select("doc_id", "quality", "text").mapInArrow(_bags, "doc_id long, quality int, bag binary").collect()
-    rows = sorted(((r[0], bytes(r[2]), r[1]) for r in rows))
+    rows = picked.select("doc_id", "quality", "text").mapInArrow(_bags, "doc_id long, quality int, bag binary")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("bag").alias("bag")).collect()  # a bounded number of bounded bags
+    rows = sorted((r["doc_id"], bytes(r["bag"]), r["quality"]) for r in rows)
     bags = [np.frombuffer(r[1], np.float32).reshape(-1, N_FEATURES) for r in rows]
     return fit(bags, np.array([r[2] for r in rows], np.int64))
 
@@ -173,7 +196,7 @@ def _scores(model: AttentionModel):
         for b in batches:
             texts, out, bags, size = column(b, "text"), [], [], 0
             for i, t in enumerate(texts):
-                bags.append(passages((t.as_py() or "").encode("utf-8")))
+                bags.append(passages(raw_text(t)))
                 size += len(bags[-1])
                 if size >= CHUNK or i == len(texts) - 1:
                     sizes = np.array([len(x) for x in bags])
@@ -192,8 +215,7 @@ def score_quality(documents: DataFrame, model: AttentionModel) -> DataFrame:
     quality_score of the input is replaced, others pass through.
     """
     documents = documents.drop("quality_score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(_scores(model), f"{fields}, quality_score double")
+    return documents.mapInArrow(_scores(model), schema_of(documents, set(), "quality_score double"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import column, schema_of, table
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -373,7 +373,6 @@ def _read(spark: SparkSession, model: str | None) -> bytes:
 
 def _mapped(df: DataFrame, made: dict[str, tuple[str, pa.DataType]], of) -> DataFrame:
     df = df.drop(*made)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -381,7 +380,7 @@ def _mapped(df: DataFrame, made: dict[str, tuple[str, pa.DataType]], of) -> Data
                 new = [pa.array(x, kind) for x, (_, kind) in zip(of(b), made.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *made])
 
-    return df.mapInArrow(run, ", ".join([fields, *(f"{name} {kind}" for name, (kind, _) in made.items())]))
+    return df.mapInArrow(run, schema_of(df, set(), ", ".join(f"`{name}` {kind}" for name, (kind, _) in made.items())))
 
 
 _IDS, _TEXT = ("array<int>", pa.list_(pa.int32())), ("string", pa.string())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, fresh, scalars, table
+from .common import column, cut, fresh, raw_text, scalars, table
 from .components import components
 
 SHINGLE_WORDS, MOST_BITS, HASH_SEED = 4, 4, 42
@@ -84,10 +84,6 @@ def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def raw_text(text: pa.StringScalar) -> bytes:
-    return text.as_buffer().to_pybytes() if text.is_valid else b""
-
-
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
