@@ -10,7 +10,7 @@ from .mixing import op9_mixing
 from .multiindex import EXACT_SQL, neighbours_exact, op2_neighbours
 from .quality import op10_quality
 from .sentencepiece import op7_sentencepiece
-from .sharding import op4_sharding
+from .sharding import PLACES_SQL, op4_sharding, sharding_places
 from .simhash import op6_simhash
 
 QUERIES = {
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "neighbours_exact": neighbours_exact,
+    "sharding_places": sharding_places,
 }
 
-ORACLE: dict[str, str] = {"neighbours_exact": EXACT_SQL, "op3_line_dedup": OP3_SQL}
+ORACLE: dict[str, str] = {"neighbours_exact": EXACT_SQL, "op3_line_dedup": OP3_SQL, "sharding_places": PLACES_SQL}

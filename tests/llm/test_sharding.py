@@ -42,6 +42,16 @@ def test_hot_text_is_subdivided(spark):
     assert in_order(tuple(r) for r in got.collect()) == in_order(brute(rows, 5))
 
 
+@pytest.mark.parametrize("range_rows", [10, 20_000])
+def test_a_hot_row_is_dealt_to_shards(spark, monkeypatch, range_rows):
+    from shardlake.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(5, "one row many times") if i % 3 == 0 else (i % 50, f"text {i % 40}") for i in range(900)]
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 6, range_rows=range_rows)
+    assert in_order(tuple(r) for r in got.collect()) == in_order(brute(rows, 6))
+
+
 def test_odd_rows(spark):
     rows = [(1, "a"), (1, "a"), (None, None), (3, ""), (4, "é" * 100_000)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, shard int, key string")
