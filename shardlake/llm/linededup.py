@@ -192,7 +192,8 @@ def _without(raw: bytes, lost: list[int], least: int) -> tuple[bytes, int]:
         else:
             out += line
             out += b"\n"
-    return bytes(out[:-1]), dropped
+    del out[-1:]
+    return bytes(out), dropped
 
 
 def _kept(names: list[str], lost: str, least: int):
