@@ -3,9 +3,8 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from shardlake.llm import linededup, mixing, quality, sentencepiece, simhash
+from shardlake.llm import mixing, quality, sentencepiece
 from tests.llm.test_linededup import brute
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,9 +44,17 @@ def test_line_stage(stages):
 
 def test_near_duplicate_stage(stages):
     before = sorted(texts(stages[2]).items())
-    ids = [d for d, _ in before]
-    right = set(slow_components(ids, [slow_fingerprint(t) for _, t in before]))
-    assert set(texts(stages[3])) == right
+    sets = []
+    for _, text in before:
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(before)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert sorted(texts(stages[3])) == sorted({before[r][0] for r in root})
 
 
 def test_mixing_stage(stages):
@@ -61,12 +68,17 @@ def test_mixing_stage(stages):
 
 def test_token_stage(stages):
     model = sentencepiece.PieceModel(open(sentencepiece.default_model(), "rb").read())
-    right = sorted((r.doc_id, model.encode(r.text)) for r in stages[4].collect())
+    right = sorted((r.doc_id, model.encode(r.text).tolist()) for r in stages[4].collect())
     assert sorted((r.doc_id, r.ids) for r in stages[5].collect()) == right
     assert stages[5].where("NOT round_trip").count() == 0
 
 
 def test_run(spark, sf, stages):
+    from pathlib import Path
+
+    from shardlake.llm import common
+
     got = sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == sorted((r.doc_id, r.ids) for r in stages[5].collect())
-    assert linededup and simhash
+    left = Path(common.shared_folder(spark).removeprefix("file:")).glob("pipeline-*/*")
+    assert {p.name for p in left} == {"4"}  # what lay between is gone
