@@ -134,9 +134,6 @@ def digest_column(text: Column, algorithm: str) -> Column:
 class Ring:
     """A consistent-hash ring: every shard has virtual nodes, a key goes to the first at or after its hash."""
 
-    #: Leading hex digits by which a column expression finds its stretch of the ring.
-    STRETCH_DIGITS = 3
-
     def __init__(self, shards: Iterable[Shard], virtual_nodes: int = 150, algorithm: str = "xxh128") -> None:
         self.virtual_nodes, self.algorithm = virtual_nodes, algorithm
         self.nodes = {s.id: virtual_nodes * max(1, s.weight) for s in shards}
@@ -144,6 +141,11 @@ class Ring:
         self.positions = sorted(owners)
         self.owners = [owners[p] for p in self.positions]
 
+    @property
+    def stretch_digits(self) -> int:
+        """Leading hex digits by which a column expression finds its stretch of the ring: few positions in each."""
+        return 3 if len(self.positions) <= 4096 else 4
+
     def add(self, shard: Shard) -> Ring:
         return self._with({**{k: v // self.virtual_nodes for k, v in self.nodes.items()}, shard.id: shard.weight})
 
@@ -184,15 +186,16 @@ class Ring:
         """
         if not self.positions:
             raise ShardingError("the ring is empty")
-        n = 16**self.STRETCH_DIGITS
-        of = [int(p[: self.STRETCH_DIGITS], 16) for p in self.positions]
+        digits = self.stretch_digits
+        n = 16**digits
+        of = [int(p[:digits], 16) for p in self.positions]
         before = [bisect_left(of, i) for i in range(n)]
         deepest = max(b - a for a, b in zip(before, [*before[1:], len(of)], strict=True))
         listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",")  # noqa: E731  folded into one literal
         starts, positions = listed(before).cast("array<int>"), listed([*self.positions, *["~"] * (deepest + 1)])
         owners = F.split(F.lit("\u0001".join([*self.owners, self.owners[0]])), "\u0001")
         hashed = digest_column(key.cast("string"), self.algorithm)
-        start = F.element_at(starts, F.conv(F.substring(hashed, 1, self.STRETCH_DIGITS), 16, 10).cast("int") + 1)
+        start = F.element_at(starts, F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int") + 1)
         at = start
         for k in range(deepest):  # no conditional parts, so that what they share is computed once
             at = at + (F.element_at(positions, start + (k + 1)) < hashed).cast("int")
@@ -213,7 +216,8 @@ class ConsistentHash:
     name = "consistent_hash"
     supports = Modulo.supports
 
-    def __init__(self, virtual_nodes: int = 150, algorithm: str = "xxh128") -> None:
+    def __init__(self, virtual_nodes: int = 150, algorithm: str = "md5") -> None:
+        """md5 is native in columns; xxh digests, which rows placed elsewhere may need, run in a pandas UDF."""
         self.virtual_nodes, self.algorithm = virtual_nodes, algorithm
 
     def ring(self, shards: ShardSet) -> Ring:
@@ -234,7 +238,7 @@ def strategy_from_config(config: Mapping) -> Strategy:
     if name in ("modulo", "range"):
         return Modulo() if name == "modulo" else Ranges()
     ring = config.get("consistent_hash", {})
-    return ConsistentHash(ring.get("virtual_nodes", 150), ring.get("hash_algorithm", "xxh128"))
+    return ConsistentHash(ring.get("virtual_nodes", 150), ring.get("hash_algorithm", "md5"))
 
 
 class TableGroups:

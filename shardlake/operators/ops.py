@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.context import Engine
-from ..topology import Shard
+from ..topology import Shard, ShardingError
 
 HEALTH_SCHEMA = "shard_id string, healthy boolean, error string, latency_ms long, checked_at timestamp"
 STATUS_SCHEMA = "shard_id string, migration string, batch int"
@@ -84,10 +86,13 @@ class ShardJob:
 
 
 class Migrations:
-    """Named steps, run once on each shard; which ran is kept as (shard, step, batch) rows."""
+    """Named steps, run once on each shard; which ran is kept as (shard, step, batch) rows, in ``log`` where given."""
 
-    def __init__(self, engine: Engine, steps: Mapping[str, tuple[Callable[[Shard], Any], Callable[[Shard], Any]]], ran: list[tuple[str, str, int]] | None = None) -> None:
-        self.engine, self.steps, self.ran = engine, dict(sorted(steps.items())), list(ran or [])
+    def __init__(
+        self, engine: Engine, steps: Mapping[str, tuple[Callable[[Shard], Any], Callable[[Shard], Any]]], ran: list[tuple[str, str, int]] | None = None, log: StepLog | None = None
+    ) -> None:
+        self.engine, self.steps, self.log = engine, dict(sorted(steps.items())), log
+        self.ran = list(ran) if ran is not None else log.ran() if log else []
 
     def ran_on(self, shard: Shard) -> list[str]:
         return [m for s, m, _ in self.ran if s == shard.id]
@@ -107,6 +112,8 @@ class Migrations:
         for m in todo:
             self.engine.run(shard, self.steps[m][0])
             self.ran.append((shard.id, m, batch))
+            if self.log:
+                self.log.add(shard.id, m, batch, True)
         return todo
 
     def rollback(self, shard: Shard, all_batches: bool = False) -> list[str]:
@@ -114,7 +121,9 @@ class Migrations:
         todo = [m for s, m, b in reversed(self.ran) if s == shard.id and (all_batches or b == last)]
         for m in todo:
             self.engine.run(shard, self.steps[m][1])
-        self.ran = [r for r in self.ran if r[0] != shard.id or r[1] not in todo]
+            self.ran = [r for r in self.ran if r[:2] != (shard.id, m)]
+            if self.log:
+                self.log.add(shard.id, m, last, False)
         return todo
 
     def reset(self, shard: Shard) -> list[str]:
@@ -134,6 +143,68 @@ class Migrations:
         return every.join(ran, ["shard_id", "migration"], "left").select("shard_id", "migration", F.col("batch").isNull().alias("pending"), "batch")
 
 
+class StepLog:
+    """Which steps ran where, kept as parquet rows that are only added to: the latest row of a step counts."""
+
+    SCHEMA = "shard_id string, migration string, batch int, ran boolean, at timestamp, row long"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException:  # nothing has run yet
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def ran(self) -> list[tuple[str, str, int]]:
+        latest = self.rows().groupBy("shard_id", "migration").agg(F.max_by(F.struct("batch", "ran"), "row").alias("x"), F.max("row").alias("row"))
+        return [tuple(r) for r in latest.where("x.ran").orderBy("row").select("shard_id", "migration", "x.batch").collect()]
+
+    def add(self, shard_id: str, migration: str, batch: int, ran: bool) -> None:
+        now = datetime.now(UTC)
+        self.spark.createDataFrame([(shard_id, migration, batch, ran, now, time.time_ns())], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+ACTIONS = ("migrate", "rollback", "reset", "fresh", "seed")
+
+
+@dataclass(frozen=True)
+class Report:
+    """What a command did on each shard; the exit code is 1 if any shard failed."""
+
+    done: dict[str, list[str]]
+    failed: dict[str, str]
+
+    @property
+    def exit_code(self) -> int:
+        return int(bool(self.failed))
+
+    def json(self) -> str:
+        return json.dumps({"done": self.done, "failed": self.failed, "exit_code": self.exit_code})
+
+
+def on_all_shards(migrations: Migrations, action: str = "migrate", shards: Iterable[Shard | str] | None = None, seed: Callable[[Shard], Any] | None = None) -> Report:
+    """Run a command on these shards, by default all active ones, one after another; a shard that fails doesn't stop the others.
+
+    ``seed`` runs after the others' steps where given, or alone for the action of that name.
+    """
+    if action not in ACTIONS or (action == "seed" and seed is None):
+        raise ShardingError(f"no such command: {action}")
+    engine = migrations.engine
+    wanted = [engine.shard(s) for s in shards] if shards is not None else list(engine.shards.active())
+    done: dict[str, list[str]] = {}
+    failed: dict[str, str] = {}
+    for shard in wanted:
+        try:
+            done[shard.id] = [] if action == "seed" else getattr(migrations, action)(shard)
+            if seed is not None:
+                migrations.seed(shard, seed)
+        except Exception as e:
+            failed[shard.id] = f"{type(e).__name__}: {e}"
+    return Report(done, failed)
+
+
 def pending_steps(every: DataFrame, ran: DataFrame) -> DataFrame:
     """(shard_id, migration) pairs that haven't run."""
     return every.join(ran, ["shard_id", "migration"], "left_anti")

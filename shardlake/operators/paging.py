@@ -30,7 +30,11 @@ class Page:
 
 
 def page_frame(query: ShardQuery, page: int, per_page: int = 15, *columns: str) -> DataFrame:
-    """The rows of a page: one job keeps the best ``page * per_page`` rows of each partition."""
+    """The rows of a page: one job keeps the best ``page * per_page`` rows of each partition.
+
+    Pages without an order are those of the shards' order, so that each row is on one page.
+    """
+    query = query if query.orders else query.in_shard_order()
     return replace(query, skipped=(max(page, 1) - 1) * per_page, limited=per_page).get(*columns)
 
 

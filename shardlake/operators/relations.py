@@ -68,9 +68,16 @@ def with_count(parents: DataFrame, relation: Relation, name: str, query: ShardQu
     return joined.withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
-def with_children(parents: DataFrame, relation: Relation, name: str, columns: list[str], query: ShardQuery | None = None) -> DataFrame:
-    """Parents with an array of their children's ``columns``, in the order of those."""
-    gathered = relation.children(query).groupBy(F.col(relation.foreign_key).alias("_fk")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+def with_children(parents: DataFrame, relation: Relation, name: str, columns: list[str], query: ShardQuery | None = None, most: int | None = None) -> DataFrame:
+    """Parents with an array of their children's ``columns``, in the order of those.
+
+    All children of a parent are then one row. ``most`` keeps the first so many of each; ``has_many``
+    has a row for each child, whatever their number.
+    """
+    children = relation.children(query)
+    if most is not None:
+        children = _ranked(relation, query, [F.col(c).asc() for c in columns]).where(F.col("_n") <= most)
+    gathered = children.groupBy(F.col(relation.foreign_key).alias("_fk")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
     joined = parents.join(gathered, parents[relation.local_key] == gathered["_fk"], "left").drop("_fk")
     return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast(gathered.schema[name].dataType)))
 
@@ -90,8 +97,9 @@ def parents_with_children(parents: DataFrame, relation: Relation, query: ShardQu
 def colocated_join(left: ShardQuery, right: ShardQuery, left_key: str, right_key: str) -> DataFrame:
     """Rows of two tables of one group that meet on their shard keys.
 
-    Equal keys are on equal shards, so the shard needs no comparing of its own; where both tables
-    are written by shard and key, it prunes folders.
+    Equal keys are on equal shards, so the shard needs no comparing of its own. Where both tables were
+    saved by ``ShardedTable.save`` with equally many buckets, neither side is shuffled, and a pinned
+    key reads one folder and one bucket of each.
     """
     a, b = left.table, right.table
     if not a.engine.groups.together(a.name, b.name):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextvars
 import logging
 import time
 import warnings
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import Any, Protocol
@@ -107,20 +110,21 @@ class CachePrefix:
 class ScatterDetector:
     """Tells when a query reaches more than one shard, once for each query."""
 
+    #: Queries that are remembered, the latest ones.
+    MOST_SEEN = 1_000
+
     def __init__(self) -> None:
-        self.enabled, self.callback, self.seen = False, None, []
+        self.reset()
 
     def record(self, query: str, shards: list[str]) -> None:
-        if len(shards) < 2:
-            return
-        self.seen.append((query, len(shards)))
-        if self.enabled:
+        if self.enabled and len(shards) > 1:
+            self.seen.append((query, len(shards)))
             log.warning("a query reaches %d shards: %s", len(shards), query)
             if self.callback:
                 self.callback(query, shards)
 
     def reset(self) -> None:
-        self.enabled, self.callback, self.seen = False, None, []
+        self.enabled, self.callback, self.seen = False, None, deque(maxlen=self.MOST_SEEN)
 
 
 class WriteGuard:
@@ -222,6 +226,26 @@ class Engine:
     def run_on_all(self, do: Callable[[Shard], Any]) -> dict[str, Any]:
         return {s.id: self.run(s, do) for s in self.shards.active()}
 
+    def run_tolerantly(self, do: Callable[[Shard], Any], at_once: int = 8) -> tuple[dict[str, Any], dict[str, str]]:
+        """``do`` on every active shard, each on its own thread, and what those said that failed.
+
+        A Spark job fails as a whole; where a source may break off in the middle of a scan, a job for each
+        shard is what keeps the others' results. Without tolerance in the configuration the first error is raised.
+        """
+        shards, found, failed = list(self.shards.active()), {}, {}
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(shards)))) as pool:
+            # Each thread has a context of its own, so the stack of shards is that of its shard alone.
+            waiting = {s.id: pool.submit(contextvars.copy_context().run, self.run, s, do) for s in shards}
+            for shard_id, result in waiting.items():
+                try:
+                    found[shard_id] = result.result()
+                except Exception as e:
+                    if not self.config["dead_shard_tolerance"]:
+                        raise
+                    log.warning("shard %s failed and is left out: %s", shard_id, str(e).splitlines()[0] if str(e) else type(e).__name__)
+                    failed[shard_id] = str(e)
+        return found, failed
+
     def route(self, key: int | str) -> Shard:
         return self.router.route(key)
 

@@ -6,8 +6,11 @@ Every terminal that needs one Spark job comes twice: as a frame (``..._frame``)
 from __future__ import annotations
 
 import functools
+import math
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.uuid7 import looks_like_uuid
 from ..sources.catalog import SHARD, ShardedTable
-from ..topology import Shard, ShardingError, ShardSet
+from ..topology import Shard, ShardSet
 
 _OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "=": lambda c, v: c == v,
@@ -114,6 +117,7 @@ class ShardQuery(Filters):
     columns: tuple[str | Column, ...] = ()
     attached: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     prunes: bool = True
+    by_shard_order: bool = False
     described: str = field(default="", compare=False)
 
     # ---- targets
@@ -149,16 +153,17 @@ class ShardQuery(Filters):
         """The shards that the conditions leave, if they pin the shard key.
 
         An equality on the key that every row must meet routes to one shard. A list of values does so to
-        theirs, which goes beyond the reference design. Any "or" at the top level rules both out.
+        theirs, which goes beyond the studied design. Any "or" at the top level rules both out, and so does
+        a value that compares with the key's column but can't be placed as rows of that column are.
         """
         if not self.prunes or not self.table.engine.config["co_location"] or any(c.either for c in self.conditions):
             return None
         for c in self.conditions:
             if c.column == self.table.shard_key and c.values:
-                try:
-                    found = [self.table.place(v) for v in c.values if v is not None]
-                except ShardingError:
+                keys = [placeable(v, self.table.key_kind) for v in c.values if v is not None]
+                if any(k is None for k in keys):
                     continue
+                found = [self.table.place(k) for k in keys]
                 if all(found):
                     return ShardSet(found)
         return None
@@ -192,6 +197,10 @@ class ShardQuery(Filters):
 
     skip = offset
 
+    def in_shard_order(self) -> ShardQuery:
+        """Rows in the shards' order, then by primary key: what a limit takes is then certain, at the price of a sort."""
+        return replace(self, by_shard_order=True)
+
     def select(self, *columns: str | Column) -> ShardQuery:
         return replace(self, columns=columns)
 
@@ -213,17 +222,18 @@ class ShardQuery(Filters):
         return rows if test is None else rows.where(test)
 
     def _ordering(self) -> list[Column]:
-        """The order asked for; ties, and queries without one, follow the shards' order and the key."""
+        """The order asked for; ties follow the shards' order and the key."""
         keys = [(F.col(c) if isinstance(c, str) else c) for c, _ in self.orders]
         asked = [k.desc() if down else k.asc() for k, (_, down) in zip(keys, self.orders, strict=True)]
         return [*asked, self.table.ordinal().asc(), F.col(self.table.primary_key).asc()]
 
     def get(self, *columns: str | Column) -> DataFrame:
         rows = self.base()
-        if self.orders or self.limited is not None or self.skipped:
+        if self.orders or self.by_shard_order:
             rows = rows.orderBy(*self._ordering())
-            rows = rows.offset(self.skipped) if self.skipped else rows
-            rows = rows.limit(self.limited) if self.limited is not None else rows
+        # Without an order a limit takes any rows: each task stops as soon as it has that many.
+        rows = rows.offset(self.skipped) if self.skipped else rows
+        rows = rows.limit(self.limited) if self.limited is not None else rows
         for step in self.attached:
             rows = step(rows)
         chosen = self.columns or columns
@@ -280,7 +290,12 @@ class ShardQuery(Filters):
         last = Window.partitionBy(key).orderBy(self.table.ordinal().desc(), F.col(self.table.primary_key).desc())
         return self.base().withColumn("_n", F.row_number().over(last)).where("_n = 1").select(key, column)
 
+    def by_shard_frame(self, *columns: str) -> DataFrame:
+        """The rows of all shards beside their shard's id, in one scan."""
+        return self.base().select(SHARD, *(c for c in columns if c != SHARD)) if columns else self.base()
+
     def by_shard(self, *columns: str) -> dict[str, DataFrame]:
+        """A frame for each shard, each a scan of its own; see ``by_shard_frame`` for all in one."""
         rows = self.base()
         return {i: (rows.where(F.col(SHARD) == i).select(*columns) if columns else rows.where(F.col(SHARD) == i)) for i in self.shards().ids()}
 
@@ -314,6 +329,27 @@ class ShardQuery(Filters):
         return self.find_frame(key, *columns).first()
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_DIGITS = re.compile(r"\s*[+-]?\d+\s*")
+
+
+def placeable(value: Any, kind: str | None) -> int | str | None:
+    """``value`` as rows of a key column of SQL type ``kind`` carry it, so that it is placed as they are; else None.
+
+    A number in a string equals a whole-number column's value, so it is placed as that number. A number
+    beside a text column equals many texts ('7', '07'), which are on different shards: it can't be placed.
+    """
+    if isinstance(value, bool):
+        return None
+    if kind in _WHOLE:
+        if isinstance(value, str):
+            return int(value) if _DIGITS.fullmatch(value) else None
+        if isinstance(value, (float, Decimal)):
+            return int(value) if math.isfinite(value) and value == int(value) else None
+        return value if isinstance(value, int) else None
+    return value if kind == "string" and isinstance(value, str) else None
+
+
 def total(column: str) -> Column:
     """A sum that is 0 over nothing."""
     return F.coalesce(F.sum(column), F.lit(0))

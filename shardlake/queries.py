@@ -7,8 +7,10 @@ ranges where the query says so. Nulls and childless parents are derived, since t
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from .operators.paging import cursor_frame, page_frame
 from .operators.relations import Relation, colocated_join, has_many, has_one, parents_with_children, top_children, with_children, with_count, with_parent
 from .plans.context import Engine
 from .plans.query import ShardQuery, average, total
-from .sources.catalog import SHARD, ShardedTable, rebalance
+from .sources.catalog import SHARD, CentralTable, Connections, ShardedTable, read_placed, rebalance, scratch
+from .streaming.iterate import chunk, chunk_by_id, lazy, map_batches
 from .topology import Shard, ShardSet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +103,10 @@ def scan_except(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def scan_central(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    engine = Engine(SHARDS, Modulo())
+    central = CentralTable(Connections(spark, {"path": sf_dir}), engine, "customer")
+    with engine.on("shard-2"):  # a current shard changes nothing
+        return central.get("c_custkey", "c_name", "c_nationkey")
 
 
 @query(f"SELECT {LISTED}, {OF_ORDER} AS _shard_id FROM orders WHERE o_totalprice > 1000")
@@ -199,7 +205,13 @@ def first_ordered(spark, sf_dir):
 
 @query(f"SELECT {LISTED} FROM orders WHERE o_custkey > 20 ORDER BY {OF_ORDER}, o_orderkey LIMIT 1")
 def first_unordered(spark, sf_dir):
-    return orders(spark, sf_dir).where("o_custkey", ">", 20).first_frame(*COLUMNS)
+    return orders(spark, sf_dir).where("o_custkey", ">", 20).in_shard_order().first_frame(*COLUMNS)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS met FROM orders WHERE o_custkey > 20 LIMIT 1")
+def first_of_any(spark, sf_dir):
+    """Which row comes first is open without an order; how many, and that they meet the condition, isn't."""
+    return orders(spark, sf_dir).where("o_custkey", ">", 20).first_frame("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_custkey") > 20).alias("met"))
 
 
 @query("SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice < 0")
@@ -271,8 +283,7 @@ def count_by_shard(spark, sf_dir):
 
 @query(f"SELECT {OF_ORDER} AS _shard_id, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def rows_by_shard(spark, sf_dir):
-    parts = orders(spark, sf_dir).where("o_totalprice", ">", 200000).by_shard(SHARD, "o_orderkey", "o_totalprice")
-    return functools.reduce(lambda a, b: a.unionByName(b), parts.values())
+    return orders(spark, sf_dir).where("o_totalprice", ">", 200000).by_shard_frame("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
@@ -310,7 +321,13 @@ def offset_limit(spark, sf_dir):
 
 @query(f"SELECT {LISTED} FROM orders ORDER BY {OF_ORDER}, o_orderkey LIMIT 30")
 def limit_unordered(spark, sf_dir):
-    return orders(spark, sf_dir).limit(30).get(*COLUMNS)
+    return orders(spark, sf_dir).in_shard_order().limit(30).get(*COLUMNS)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' LIMIT 30)")
+def limit_of_any(spark, sf_dir):
+    rows = orders(spark, sf_dir).where("o_orderstatus", "O").limit(30).get("o_orderkey", "o_orderstatus")
+    return rows.agg(F.count_if(F.col("o_orderstatus") == "O").alias("n"), F.count_distinct("o_orderkey").alias("different"))
 
 
 @query(f"SELECT o_orderkey, price FROM {HOLED} ORDER BY price ASC NULLS FIRST, o_orderkey LIMIT 30")
@@ -376,6 +393,22 @@ def colocated_ring(spark, sf_dir):
     return events(spark, sf_dir, Engine(SHARDS, ConsistentHash())).where("user_id", 17).get("event_id", "user_id")
 
 
+@query("SELECT count(*) AS n FROM orders WHERE o_orderkey = 42")
+def pinned_by_text_modulo(spark, sf_dir):
+    """A number given as text finds the number's rows, on the shard where they are."""
+    return orders(spark, sf_dir).where("o_orderkey", "42").count_frame(name="n")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (7, 301)")
+def pinned_by_text_range(spark, sf_dir):
+    return sharded(spark, sf_dir, "customer", "c_custkey", engine=Engine(RANGED, Ranges())).query().where_in("c_custkey", ["7", " 301 "]).get("c_custkey", "c_name")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id = 17")
+def pinned_by_text_ring(spark, sf_dir):
+    return events(spark, sf_dir, Engine(SHARDS, ConsistentHash())).where("user_id", "17").get("event_id", "user_id")
+
+
 def _ring_values(shards: ShardSet, nodes: int = 150) -> str:
     rows = Ring(shards, nodes, "md5").intervals()
     return ", ".join(f"('{a}', '{b}', '{o}')" for a, b, o in rows)
@@ -400,7 +433,7 @@ def ring_weighted_distribution(spark, sf_dir):
 
 @query()
 def ring_xxh128_count_by_shard(spark, sf_dir):
-    return distribution(read(spark, sf_dir, "orders"), "o_orderkey", Router(SHARDS, ConsistentHash()))
+    return distribution(read(spark, sf_dir, "orders"), "o_orderkey", Router(SHARDS, ConsistentHash(algorithm="xxh128")))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey >= 0 AND c_custkey < 300 THEN 'low' WHEN c_custkey >= 300 AND c_custkey < 900 THEN 'mid' ELSE 'top' END AS _shard_id FROM customer")
@@ -532,6 +565,123 @@ def colocated_join_lines(spark, sf_dir):
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+# ---- tables that were written by shard
+
+
+def _saved(spark, sf_dir, name: str, key: str, primary: str | None = None) -> ShardedTable:
+    """The table saved by shard and key in buckets, once for each session and folder of tables."""
+    engine = Engine(SHARDS, ConsistentHash(), GROUPED)
+    saved = f"shardlake_{name}_{zlib.crc32(sf_dir.encode()):08x}_{spark.sparkContext.applicationId.replace('-', '_')}"
+    if not spark.catalog.tableExists(saved):
+        sharded(spark, sf_dir, name, key, primary, engine).save(read(spark, sf_dir, name), saved, scratch(spark, saved))
+    return ShardedTable(engine, name, spark.table(saved), shard_key=key, primary_key=primary)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def colocated_join_saved(spark, sf_dir):
+    """Both sides come bucketed by key, so that neither is shuffled for the join."""
+    left, right = _saved(spark, sf_dir, "orders", "o_orderkey").query(), _saved(spark, sf_dir, "lineitem", "l_orderkey").query()
+    joined = colocated_join(left, right, "o_orderkey", "l_orderkey")
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 77")
+def pinned_read_saved(spark, sf_dir):
+    """One shard's folder and one bucket of it are read."""
+    return _saved(spark, sf_dir, "lineitem", "l_orderkey").query().where("l_orderkey", 77).get("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(f"SELECT {OF_ORDER} AS _shard_id, count(*) AS n, sum(o_custkey) AS customers FROM orders GROUP BY 1")
+def write_and_read(spark, sf_dir):
+    """Rows written to their shards' folders and read back."""
+    table = sharded(spark, sf_dir, "orders", "o_orderkey")
+    path = scratch(spark, "orders")
+    table.write(read(spark, sf_dir, "orders"), path)
+    return read_placed(table.engine, spark, "orders", path, shard_key="o_orderkey").query().group_by(SHARD, n=F.count("*"), customers=F.sum("o_custkey"))
+
+
+@query(f"SELECT {OF_ORDER} AS _shard_id, count(*) AS n, count(*) AS own_shard, count(*) AS different FROM orders GROUP BY 1")
+def uuid_on_insert(spark, sf_dir):
+    """Every row gets a UUID of its own that carries its shard."""
+    frame = read(spark, sf_dir, "orders").withColumn("uuid", F.lit(None).cast("string"))
+    table = sharded(spark, sf_dir, "orders", "o_orderkey", frame=frame)
+    path = scratch(spark, "uuids")
+    table.write(frame, path, uuid_column="uuid")
+    own = F.count_if(decoded_shard(F.col("uuid"), SHARDS) == F.col(SHARD))
+    return spark.read.parquet(path).groupBy(SHARD).agg(F.count("*").alias("n"), own.alias("own_shard"), F.count_distinct("uuid").alias("different"))
+
+
+@query("SELECT count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE o_custkey = 7")
+def children_created(spark, sf_dir):
+    """Children of one parent written through the relationship, each to its shard, and read back through it."""
+    table = sharded(spark, sf_dir, "orders", "o_orderkey")
+    path = scratch(spark, "children")
+    mine = read(spark, sf_dir, "orders").where("o_custkey = 7").drop("o_custkey")
+    Relation(table, *CUSTOMER_ORDERS).create(7, mine, path)
+    placed = read_placed(table.engine, spark, "orders", path, shard_key="o_orderkey")
+    return Relation(placed, *CUSTOMER_ORDERS).of(7).aggregate_frame(n=F.count("*"), first=F.min("o_orderkey"), last=F.max("o_orderkey"))
+
+
+# ---- reading in chunks
+
+
+def _told(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "shard_id string, part long, n long, low long, high long")
+
+
+@query(
+    f"""SELECT shard_id, part, count(*) AS n, min(c_custkey) AS low, max(c_custkey) AS high FROM (SELECT c_custkey, 'shard-' || (abs(c_custkey) % 3 + 1) AS shard_id,
+    (row_number() OVER (PARTITION BY abs(c_custkey) % 3 ORDER BY c_custkey) - 1) // 100 AS part FROM customer) GROUP BY 1, 2"""
+)
+def chunks_by_id(spark, sf_dir):
+    told: list[tuple] = []
+
+    def do(rows, shard):
+        told.append((shard.id, sum(t[0] == shard.id for t in told), len(rows), rows[0].c_custkey, rows[-1].c_custkey))
+
+    chunk_by_id(sharded(spark, sf_dir, "customer", "c_custkey").query(), 100, do, "c_custkey")
+    return _told(spark, told)
+
+
+@query("SELECT 'shard-' || (abs(c_custkey) % 3 + 1) AS shard_id, count(*) AS n, min(c_custkey) AS low, max(c_custkey) AS high FROM customer GROUP BY 1")
+def chunks_of_shards(spark, sf_dir):
+    """Chunks of at most 100 rows, shard by shard; what they add up to."""
+    told: list[tuple] = []
+    chunk(sharded(spark, sf_dir, "customer", "c_custkey").query(), 100, lambda rows, s: told.append((s.id, 0, len(rows), min(r.c_custkey for r in rows), max(r.c_custkey for r in rows))))
+    if any(n > 100 for _, _, n, _, _ in told):
+        raise ValueError("a chunk is too large")
+    return _told(spark, told).groupBy("shard_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query("SELECT 'shard-' || (abs(s_suppkey) % 3 + 1) AS shard_id, count(*) AS n, min(s_suppkey) AS low, max(s_suppkey) AS high FROM supplier GROUP BY 1")
+def lazy_rows(spark, sf_dir):
+    rows = lazy(sharded(spark, sf_dir, "supplier", "s_suppkey").query(), "s_suppkey", SHARD)
+    frame = spark.createDataFrame([(r[SHARD], 0, 1, r.s_suppkey, r.s_suppkey) for r in rows], "shard_id string, part long, n long, low long, high long")
+    return frame.groupBy("shard_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query(f"SELECT {OF_ORDER} AS shard_id, count(*) AS n, max(o_orderkey) AS high FROM orders GROUP BY 1")
+def batches_of_shards(spark, sf_dir):
+    """A function of each batch of a shard's rows, run where the rows are."""
+    of = lambda shard_id, rows: pd.DataFrame({"shard_id": [shard_id], "n": [len(rows)], "high": [rows["o_orderkey"].max()]})
+    return map_batches(orders(spark, sf_dir), of, "shard_id string, n long, high long").groupBy("shard_id").agg(F.sum("n").alias("n"), F.max("high").alias("high"))
+
+
+@query(f"SELECT {OF_ORDER} AS shard_id, count(*) AS n FROM orders WHERE {OF_ORDER} <> 'shard-3' GROUP BY 1")
+def tolerant_jobs(spark, sf_dir):
+    """A job for each shard; one breaks off in the middle of its scan and is left out."""
+    engine = Engine(SHARDS, Modulo(), config={"dead_shard_tolerance": True})
+    query = orders(spark, sf_dir, engine)
+    broken = F.when(F.col("o_orderkey") > 100, F.raise_error(F.lit("the shard went away"))).otherwise(0)
+
+    def count(shard):
+        rows = query.on_shard(shard).get("o_orderkey")
+        return rows.agg(F.sum(broken if shard.id == "shard-3" else F.lit(0)), F.count("*").alias("n")).first()["n"]
+
+    found, _ = engine.run_tolerantly(count)
+    return spark.createDataFrame(list(found.items()), "shard_id string, n long")
+
+
 @query(
     """SELECT n_name, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM nation
     JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1"""
@@ -541,10 +691,10 @@ def team_report(spark, sf_dir):
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     owned = has_many(customers(spark, sf_dir).join(nation, F.col("c_nationkey") == F.col("n_nationkey")), relation, orders(spark, sf_dir).where("o_orderstatus", "F"))
     rows = lines(spark, sf_dir).get("l_orderkey", "l_extendedprice", "l_discount")
-    # Sums of each order first: then orders are counted without a second shuffle for distinct keys.
-    by_order = rows.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
-    joined = owned.join(by_order, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("revenue"), 2).alias("revenue"))
+    # Lines meet the orders that are left; sums of each order then follow the join's own shuffle.
+    joined = owned.select("n_name", "o_orderkey").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    by_order = joined.groupBy("o_orderkey", "n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    return by_order.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("revenue"), 2).alias("revenue"))
 
 
 # ---- UUIDs

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import functools
 import logging
+import re
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from contextlib import contextmanager
 
@@ -107,6 +111,26 @@ class ShardedTable:
         # Files of a shard side by side; a large shard's rows are split into tasks of the advisory size.
         placed.hint("rebalance", SHARD).write.mode(mode).partitionBy(SHARD).parquet(path)
 
+    def save(self, frame: DataFrame, name: str, path: str, buckets: int = 8, mode: str = "overwrite") -> None:
+        """Place rows and save them as table ``name``: a folder for each shard, bucketed and sorted by the shard key.
+
+        Tables of a group that are saved with equally many buckets meet without a shuffle.
+        """
+        placed = frame.withColumn(SHARD, self.placement(frame)).repartition(buckets, self.shard_key)
+        placed.write.mode(mode).partitionBy(SHARD).bucketBy(buckets, self.shard_key).sortBy(self.shard_key).option("path", path).saveAsTable(name)
+
+    @functools.cached_property
+    def key_kind(self) -> str | None:
+        """SQL type of the shard key's column; None where no source tells."""
+        if self._frame is not None:
+            return dict(self._frame.dtypes).get(self.shard_key)
+        for load in self._loaders.values():
+            try:
+                return dict(load().dtypes).get(self.shard_key)
+            except Exception as e:
+                log.warning("a shard of %s can't be read: %s", self.name, str(e).splitlines()[0])
+        return None
+
     def _uuids(self) -> Column:
         """A random UUID of version 7 that carries the row's shard number."""
         from ..functions.uuid7 import shard_number
@@ -127,6 +151,30 @@ def read_placed(engine: Engine, spark: SparkSession, name: str, path: str, **key
     return ShardedTable(engine, name, spark.read.parquet(path), **keys)
 
 
+class CentralTable:
+    """A table that is not sharded: read from the central source, whatever shard is current."""
+
+    def __init__(self, connections: Connections, engine: Engine, name: str) -> None:
+        self.connections, self.engine, self.name = connections, engine, name
+
+    def rows(self) -> DataFrame:
+        with self.connections.central_only(self.engine) as options:
+            return self.connections.load(options, self.name)
+
+    def get(self, *columns: str) -> DataFrame:
+        return self.rows().select(*columns) if columns else self.rows()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share: under the checkpoint folder, or a temporary one in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ShardingError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="shardlake-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 class Connections:
     """Reader options of each shard: its own where they name a driver, else merged over the central ones."""
 
@@ -174,25 +222,44 @@ class Connections:
 
         def load() -> DataFrame:
             with self.pool.lease(shard.connection):
-                if "url" in options:
-                    return self.spark.read.format("jdbc").options(**options, dbtable=table).load()
-                return self.spark.read.format(options.get("format", "parquet")).load(f"{options['path']}/{table}.parquet")
+                return self.load(options, table)
 
         return load
 
+    def load(self, options: Mapping[str, str], table: str) -> DataFrame:
+        if "url" in options:
+            return self.spark.read.format("jdbc").options(**options, dbtable=table).load()
+        return self.spark.read.format(options.get("format", "parquet")).load(f"{options['path']}/{table}.parquet")
+
+    def warm(self, shards: Iterable[Shard]) -> list[str]:
+        """Make the options of these shards ready; the names of their connections."""
+        for s in shards:
+            self.make(s)
+        return self.names()
+
+    def close_idle(self, now: float | None = None) -> list[str]:
+        """Purge connections that nobody has used for the pool's idle time."""
+        gone = self.pool.idle(now)
+        for name in gone:
+            self.purge(name)
+            self.pool.forget(name)
+        return gone
+
 
 class Pool:
-    """Counts leases for each connection; at the limit a further one raises."""
+    """Counts leases for each connection; at the limit a further one raises. ``idle_s`` is when an unused one is idle."""
 
-    def __init__(self, limit: int = 10) -> None:
-        self.limit, self._active = max(1, limit), {}
+    def __init__(self, limit: int = 10, idle_s: float = 60.0) -> None:
+        self.limit, self.idle_s, self._active, self._used = max(1, limit), idle_s, {}, {}
 
     def acquire(self, name: str) -> None:
+        self._used[name] = time.monotonic()
         if self._active.get(name, 0) >= self.limit:
             raise PoolExhausted(f"{self.limit} connections to {name} are in use")
         self._active[name] = self._active.get(name, 0) + 1
 
     def release(self, name: str) -> None:
+        self._used[name] = time.monotonic()
         self._active[name] = max(0, self._active.get(name, 0) - 1)
 
     @contextmanager
@@ -204,7 +271,14 @@ class Pool:
             self.release(name)
 
     def flush(self) -> None:
-        self._active.clear()
+        self._active.clear(), self._used.clear()
+
+    def idle(self, now: float | None = None) -> list[str]:
+        now = time.monotonic() if now is None else now
+        return [name for name, at in self._used.items() if now - at > self.idle_s and not self._active.get(name)]
+
+    def forget(self, name: str) -> None:
+        self._active.pop(name, None), self._used.pop(name, None)
 
     def stats(self) -> dict:
         return {"limit": self.limit, "active": dict(self._active), "total": sum(self._active.values())}
@@ -214,17 +288,44 @@ def foreign_server_sql(shards: Iterable[Shard], wrapper: str = "postgres_fdw") -
     """Statements that make each shard known to one PostgreSQL coordinator."""
     out = [f"CREATE EXTENSION IF NOT EXISTS {wrapper};"]
     for s in shards:
-        server, o = "shard_" + s.id.replace("-", "_"), s.options
+        server, o = quoted_name(_server(s)), s.options
         quoted = {k: str(o.get(k, "")).replace("'", "''") for k in ("host", "port", "database", "username", "password")}
         out.append(f"CREATE SERVER IF NOT EXISTS {server} FOREIGN DATA WRAPPER {wrapper} OPTIONS (host '{quoted['host']}', port '{quoted['port']}', dbname '{quoted['database']}');")
         out.append(f"CREATE USER MAPPING IF NOT EXISTS FOR CURRENT_USER SERVER {server} OPTIONS (user '{quoted['username']}', password '{quoted['password']}');")
     return out
 
 
+def quoted_name(name: str) -> str:
+    """An SQL identifier, in quotes where it isn't a plain one."""
+    return name if re.fullmatch(r"[a-z_][a-z0-9_]*", name) else '"' + name.replace('"', '""') + '"'
+
+
+def _server(shard: Shard) -> str:
+    return "shard_" + shard.id.replace("-", "_")
+
+
+def _foreign(table: str, shard: Shard) -> str:
+    return quoted_name(f"{shard.id.replace('-', '_')}_{table}")
+
+
+def foreign_table_sql(table: str, shards: Iterable[Shard]) -> list[str]:
+    """Statements that make each shard's part of ``table`` a foreign table of the coordinator, with its own table's columns."""
+    literal = table.replace("'", "''")
+    return [f"CREATE FOREIGN TABLE IF NOT EXISTS {_foreign(table, s)} (LIKE {quoted_name(table)}) SERVER {quoted_name(_server(s))} OPTIONS (table_name '{literal}');" for s in shards]
+
+
 def unified_view_sql(table: str, shards: Iterable[Shard], prefix: str = "all_") -> str:
     """A view over one foreign table for each shard, rows tagged with ``_shard_id``."""
-    parts = [f"SELECT *, '{s.id}' AS {SHARD} FROM {table}_{s.id.replace('-', '_')}" for s in shards]
-    return f"CREATE OR REPLACE VIEW {prefix}{table} AS\n" + "\nUNION ALL\n".join(parts) + ";"
+    parts = ["SELECT *, '{}' AS {} FROM {}".format(s.id.replace("'", "''"), SHARD, _foreign(table, s)) for s in shards]
+    return f"CREATE OR REPLACE VIEW {quoted_name(prefix + table)} AS\n" + "\nUNION ALL\n".join(parts) + ";"
+
+
+def coordinator_sql(table: str, shards: ShardSet, prefix: str = "all_") -> str:
+    """All that makes ``all_<table>`` readable on the coordinator: its foreign tables, then the view. Active shards count."""
+    active = shards.active()
+    if active.is_empty():
+        raise ShardingError("there is no active shard")
+    return "\n".join([*foreign_table_sql(table, active), unified_view_sql(table, active, prefix)])
 
 
 def sharded_sql(tables: Iterable[ShardedTable], sql: str, args: Mapping[str, object] | list | None = None) -> DataFrame:
