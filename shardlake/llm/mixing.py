@@ -349,3 +349,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = (rows["source_no"] == taken["source_no"]) & rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows["text_hash"] == taken["text_hash"]) & (rows["copy"] == taken["copy"])
     each = rows.join(taken, same, "left").select(rows["source_no"], rows["doc_id"], "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     return each.join(of_source, "source_no").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the sources that ``op9_mixing`` mixes."""
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return spark.createDataFrame([(s.name, s.size, s.target) for s in mix.sources], "source string, source_size long, target double")
+
+
+TARGETS_SQL = r"""
+WITH words AS (
+  SELECT source, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS size
+  FROM documents GROUP BY source),
+weighted AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM words),
+ranked AS (
+  SELECT *, row_number() OVER w AS n, sum(size) OVER w - size AS full_size, sum(weight) OVER w - weight AS full_weight,
+         sum(size) OVER () AS total, sum(weight) OVER () AS weights
+  FROM weighted WINDOW w AS (ORDER BY size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+rates AS (
+  SELECT *, CAST(total - 3 * full_size AS DOUBLE) / (weights - full_weight) AS rate FROM ranked),
+level AS (
+  SELECT rate FROM rates WHERE rate * weight <= 3 * size ORDER BY n LIMIT 1)
+SELECT source, size AS source_size, CASE WHEN rate * weight > 3 * size THEN CAST(3 * size AS DOUBLE) ELSE rate * weight END AS target
+FROM weighted, level
+"""

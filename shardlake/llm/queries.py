@@ -6,7 +6,7 @@ from .chat import op8_chat
 from .htmltext import op5_html_text
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op1_media_columns
-from .mixing import op9_mixing
+from .mixing import TARGETS_SQL, mixing_targets, op9_mixing
 from .multiindex import EXACT_SQL, neighbours_exact, op2_neighbours
 from .quality import op10_quality
 from .sentencepiece import op7_sentencepiece
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "neighbours_exact": neighbours_exact,
     "sharding_places": sharding_places,
+    "mixing_targets": mixing_targets,
 }
 
-ORACLE: dict[str, str] = {"neighbours_exact": EXACT_SQL, "op3_line_dedup": OP3_SQL, "sharding_places": PLACES_SQL}
+ORACLE: dict[str, str] = {"neighbours_exact": EXACT_SQL, "op3_line_dedup": OP3_SQL, "sharding_places": PLACES_SQL, "mixing_targets": TARGETS_SQL}
