@@ -30,7 +30,7 @@ COUNT_ROWS, SLICE_BYTES = 1 << 15, 1 << 18
 #: Rows of cells that are looked through at once; rows that a task should get.
 CELL_ROWS, TASK_ROWS = 1 << 20, 1 << 20
 #: Fingerprints from which on segments have one bit: a point meets one in 2^14 others by chance on the coarse
-#: grid, one in 2^23 on the fine one, which has 66 rows a point instead of 47. Both find the same links.
+#: grid, one in 2^23 on the fine one, which has 66 rows a point instead of 50. Both find the same links.
 FINE_GRID = 4_000_000
 #: Cells with more points are searched point by point, each point meeting those not yet reached.
 SMALL_CELL = 32
@@ -209,7 +209,7 @@ def link_components(prints: DataFrame, bits: int = MOST_BITS, width: int | None
     (n,) = scalars(nodes, F.count("*"))
     width = width or (2 if n < FINE_GRID else 1)
     filed = nodes.mapInArrow(_file(width), "cell long, fp long, node long")
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (47 if width == 2 else 66) // TASK_ROWS))
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (50 if width == 2 else 66) // TASK_ROWS))
     links = filed.repartition(parts, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_verify(bits), "u long, v long")
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
