@@ -747,3 +747,6 @@ def pending_migrations(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and revenue by shard."""
     return orders(spark, sf_dir).group_by(SHARD, n=F.count("*"), revenue=F.round(F.sum("o_totalprice"), 2)).orderBy(SHARD)
+
+
+from . import state_queries  # noqa: E402, F401  registers its queries here
