@@ -25,7 +25,10 @@ def _own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with similarity 0.8 or more by five words, that of the smallest doc_id."""
+    """One document of each group with similarity 0.8 or more by five words, that of the smallest doc_id.
+
+    They meet by SimHash, and by bands beyond its reach.
+    """
     return nearcopies.keep_one(docs)
 
 

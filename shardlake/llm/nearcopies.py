@@ -1,7 +1,8 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash, held against the exact Jaccard similarity of their sets of word shingles.
 
-64 bits can't tell a similarity of 0.8: such pairs differ in up to 17 bits of a SimHash. So texts
-meet by MinHash: each text is filed in a cell for every band of minima. What meets in a cell is
+Texts meet on the popcount grid of their fingerprints, which misses no pair up to 5 bits. Pairs of
+similarity 0.8 differ in up to 17 bits, beyond any grid of 64 bits: those that are more than 5
+bits apart meet by MinHash, each text being filed in a cell for every band of minima. What meets is
 compared on the whole sets, pair by pair in small cells and from member to member in large ones.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import column, cut, raw_text, scalars
 from .components import components
-from .simhash import COUNT_ROWS, shingle_hashes, smallest
+from .simhash import COUNT_ROWS, REACH, majority, meetings, shingle_hashes, smallest
 
 #: Texts are near copies from a Jaccard similarity of 4/5 on.
 SHINGLE_WORDS, SHARE, WHOLE = 5, 4, 5
@@ -55,15 +56,18 @@ def digest_of(shingles: np.ndarray) -> int:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the digest of its set and its cells; sets are too large to be kept for all."""
+    """Of each text the digest of its set, its fingerprint and its cells; sets are too large to be kept for all."""
     for whole in batches:
         for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-            digests, cells = [], []
+            digests, fps, cells = [], [], []
             for t in column(b, "text"):
-                shingles = shingle_set(raw_text(t))
+                hashes = shingle_hashes(raw_text(t), SHINGLE_WORDS)
+                fps.append(majority([hashes]))
+                shingles = np.unique(hashes)
                 digests.append(digest_of(shingles))
                 cells.append(band_cells(shingles).view(np.int64))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(digests, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "digest", "cells"])
+            own = [pa.array(digests, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), *own], names=["doc_id", "digest", "fp", "cells"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,12 +75,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
             rows = []
-            for digest, node, t in zip(column(b, "digest").to_pylist(), column(b, "node").to_pylist(), column(b, "text"), strict=True):
+            for digest, node, fp, t in zip(*(column(b, c).to_pylist() for c in ("digest", "node", "fp")), column(b, "text"), strict=True):
                 shingles = shingle_set(raw_text(t))
                 if digest_of(shingles) == digest:  # rows that repeat an id may have other texts
-                    rows.append((digest, node, shingles.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "node", "shingles"])
+                    rows.append((digest, node, fp, shingles.view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "node", "fp", "shingles"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
@@ -178,32 +182,46 @@ def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
 
 
+def _by_prints(nodes: DataFrame) -> DataFrame:
+    """What the grid of the fingerprints meets: all pairs up to 5 bits."""
+    return meetings(nodes.select("fp", F.col("digest").alias("node")))
+
+
+def _by_bands(nodes: DataFrame) -> DataFrame:
+    """What shares a band of minima."""
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    filed = nodes.select(F.explode("cells").alias("cell"), "digest")
+    return filed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_meet, "large boolean, u long, v long")
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links of similarity 0.8 or more reach.
 
-    Equal sets are one node, named by the smallest doc_id; texts without words are one. A null doc_id
-    names no component. Repeated rows are repeated, other columns left out.
+    Equal sets are one node, named by the smallest doc_id; texts without words are one. Pairs of nodes up to 5
+    bits apart come from the fingerprints, the bands add those farther apart. A null doc_id names no component. Repeated rows are repeated, other columns left out.
     """
     spark = documents.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = cut(texts.mapInArrow(_prints, "doc_id long, digest long, cells array<long>"))
-    nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("cells").alias("cells")))
-    filed = nodes.select(F.explode("cells").alias("cell"), "digest")
-    met = cut(filed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_meet, "large boolean, u long, v long").distinct())
-    names = nodes.select("digest", "node")
+    prints = cut(texts.mapInArrow(_prints, "doc_id long, digest long, fp long, cells array<long>"))
+    # Texts of one set may repeat its shingles differently; any of their fingerprints does, if it is the same in all runs.
+    nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("cells").alias("cells")))
+    close, banded = _by_prints(nodes).withColumn("close", F.lit(True)), _by_bands(nodes).withColumn("close", F.lit(False))
+    met = cut(close.union(banded).distinct())
+    names = nodes.select("digest", "node", "fp")
     wanted = cut(names.join(met.where("NOT large").select(F.col("u").alias("digest")).union(met.select("v")).distinct(), "digest"))
     # Most texts meet none: sets are made anew for those that do, and where their names are few, no other text is moved.
     (n,) = scalars(wanted, F.count("*"))
-    few = F.broadcast(wanted) if n * 16 <= SENT_BYTES else wanted
-    own = texts.join(few, texts["doc_id"] == few["node"]).select("digest", "node", "text")
-    sets = own.mapInArrow(_sets, "digest long, node long, shingles array<long>")
-    sets = cut(sets.groupBy("digest").agg(F.first("node").alias("node"), F.first("shingles").alias("shingles")))
-    a = sets.select(F.col("digest").alias("u"), F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("digest").alias("v"), F.col("node").alias("b"), F.col("shingles").alias("y"))
+    few = F.broadcast(wanted) if n * 24 <= SENT_BYTES else wanted
+    own = texts.join(few, texts["doc_id"] == few["node"]).select("digest", "node", "fp", "text")
+    sets = own.mapInArrow(_sets, "digest long, node long, fp long, shingles array<long>")
+    sets = cut(sets.groupBy("digest").agg(F.first("node").alias("node"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
+    a = sets.select(F.col("digest").alias("u"), F.col("node").alias("a"), F.col("fp").alias("f"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("digest").alias("v"), F.col("node").alias("b"), F.col("fp").alias("g"), F.col("shingles").alias("y"))
+    due = F.col("close") | (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) > REACH)  # the grid has met the others
     alike = (SHARE + WHOLE) * F.size(F.array_intersect("x", "y")) >= SHARE * (F.size("x") + F.size("y"))
-    paired = met.where("NOT large").select("u", "v").join(a, "u").join(b, "v").where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    large = met.where("large").select(F.col("u").alias("cell"), F.col("v").alias("digest"))
+    paired = met.where("NOT large").select("u", "v", "close").join(a, "u").join(b, "v").where(due & alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    large = met.where("large").select(F.col("u").alias("cell"), F.col("v").alias("digest")).distinct()
     crowded = large.join(sets, "digest").select("cell", "node", "shingles")
     # No more cells can be dealt to blocks than CELL_SHINGLES goes into all shingles that are filed.
     sizes = sets.select("digest", F.size("shingles").alias("n"))

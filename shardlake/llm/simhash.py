@@ -11,7 +11,7 @@ fingerprints.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ REACH = 5
 COUNT_ROWS, SLICE_BYTES = 1 << 15, 1 << 18
 #: Rows of cells that are looked through at once; rows that a task should get.
 CELL_ROWS, TASK_ROWS = 1 << 20, 1 << 20
+#: The same where all pairs of a cell are listed, which are up to SMALL_CELL / 2 for each row.
+MEETING_ROWS = 1 << 16
 #: Fingerprints from which on segments have one bit: a point meets one in 2^14 others by chance on the coarse
 #: grid, one in 2^23 on the fine one, which has 66 rows a point instead of 50. Both find the same links.
 FINE_GRID = 4_000_000
@@ -72,10 +74,10 @@ def shingle_hashes(raw: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *shingle_parts(raw, words)])
 
 
-def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
-    """Bits that are set in over half the shingle hashes; 0 for a text without words."""
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits that are set in over half of all hashes; 0 for none."""
     counts, total = np.zeros(64, np.int64), 0
-    for h in shingle_parts(raw, words):
+    for h in parts:
         total += len(h)
         for i in range(0, len(h), COUNT_ROWS):
             part = h[i : i + COUNT_ROWS]
@@ -84,6 +86,11 @@ def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
     return int(bits.view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
+    """Bits that are set in over half the shingle hashes; 0 for a text without words."""
+    return majority(shingle_parts(raw, words))
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,6 +153,20 @@ def _reach(fp: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
     return edges
 
 
+def _near(fp: np.ndarray, node: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """All links inside small runs of these sizes, which follow one another; larger runs are passed over."""
+    edges, ends = [], np.cumsum(sizes)
+    rest = np.repeat(np.where(sizes > SMALL_CELL, 0, ends), sizes)  # the end of each small run
+    at = np.arange(len(fp))
+    for step in range(1, SMALL_CELL):
+        at = at[at + step < rest[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
+        edges.append(np.stack([node[near], node[near + step]], 1))
+    return edges
+
+
 def _links(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Verified links in whole runs of equal cells, repeats removed."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -153,21 +174,41 @@ def _links(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> np.
     edges = []
     for a, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
         edges += _reach(fp[a : a + n], node[a : a + n], bits)
-    rest = np.repeat(np.where(sizes > SMALL_CELL, 0, starts + sizes), sizes)  # the end of each small run
-    at = np.arange(len(cell))
-    for step in range(1, SMALL_CELL):
-        at = at[at + step < rest[at]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= bits]
-        edges.append(np.stack([node[near], node[near + step]], 1))
+    edges += _near(fp, node, sizes, bits)
     if not edges:
         return np.zeros((0, 2), np.int64)
     found = np.concatenate(edges)
     return np.unique(np.stack([found.max(1), found.min(1)], 1), axis=0) if len(found) else found
 
 
-def _verify(bits: int):
+def _meetings(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """(0, u, v) for all links in whole runs of equal cells; (1, group, node) for what links join in large runs.
+
+    A group is named by its nodes, so that cells which hold the same ones name one group.
+    """
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[starts, len(cell)])
+    edges, groups = _near(fp, node, sizes, bits), []
+    for a, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
+        label = np.arange(n)
+        for found in _reach(fp[a : a + n], label.copy(), bits):
+            label[found[:, 1]] = label[found[0, 0]]  # reached before, so it has its label
+        order = a + np.argsort(label, kind="stable")
+        _, counts = np.unique(label, return_counts=True)
+        edges += _near(fp[order], node[order], counts, bits)
+        ends = np.cumsum(counts)
+        for z, m in zip(ends[counts > SMALL_CELL].tolist(), counts[counts > SMALL_CELL].tolist(), strict=True):
+            own = np.sort(node[order[z - m : z]])
+            name = int.from_bytes(xxhash.xxh3_64_digest(own.tobytes()), "big", signed=True)
+            groups.append(np.stack([np.ones(m, np.int64), np.full(m, name), own], 1))
+    found = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+    pairs = np.unique(np.stack([np.zeros(len(found), np.int64), found.min(1), found.max(1)], 1), axis=0) if len(found) else np.zeros((0, 3), np.int64)
+    return np.concatenate([pairs, *groups])
+
+
+def _verify(bits: int, find: Callable = _links, names: tuple[str, ...] = ("u", "v"), most: int = 0):
+    """What ``find`` has in whole cells, some ``most`` rows (CELL_ROWS if 0) at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size, ready = 0, 0  # rows held, and those of them whose cell has surely ended
@@ -175,8 +216,8 @@ def _verify(bits: int):
         def out(rows: list[tuple[np.ndarray, ...]], end: int) -> pa.RecordBatch:
             cell, fp, node = (np.concatenate(x) for x in zip(*rows, strict=True))
             held[:] = [(cell[end:], fp[end:], node[end:])] if end < len(cell) else []
-            found = _links(cell[:end], fp[:end].view(np.uint64), node[:end], bits)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
+            found = find(cell[:end], fp[:end].view(np.uint64), node[:end], bits)
+            return pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in found.T], names=list(names))
 
         for b in batches:
             if not b.num_rows:
@@ -187,7 +228,7 @@ def _verify(bits: int):
                 ready = size + last
             held.append(rows)
             size += b.num_rows
-            if ready >= CELL_ROWS:
+            if ready >= (most or CELL_ROWS):
                 yield out(held, ready)
                 size, ready = size - ready, 0
         if size:
@@ -196,6 +237,27 @@ def _verify(bits: int):
     return run
 
 
+def _filed(nodes: DataFrame, width: int | None) -> DataFrame:
+    """The cells of nodes (fp, node), sorted by cell in tasks of bounded length."""
+    (n,) = scalars(nodes, F.count("*"))
+    width = width or (2 if n < FINE_GRID else 1)
+    filed = nodes.select("fp", "node").mapInArrow(_file(width), "cell long, fp long, node long")
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (50 if width == 2 else 66) // TASK_ROWS))
+    return filed.repartition(parts, "cell").sortWithinPartitions("cell", "fp")
+
+
+def meetings(nodes: DataFrame, bits: int = REACH, width: int | None = None) -> DataFrame:
+    """large, u and v: of nodes (fp, node; cut already) all that are within ``bits``, for an exact check to follow.
+
+    Two nodes within ``bits`` are u and v of a row, u < v, or both v of rows that are large and
+    have the same u, the name of a group. Repeats are left in.
+    """
+    if bits > REACH:
+        raise ValueError(f"the grid meets pairs up to {REACH} bits")
+    met = _filed(nodes, width).mapInArrow(_verify(bits, _meetings, ("large", "u", "v"), MEETING_ROWS), "large long, u long, v long")
+    return met.select((F.col("large") == 1).alias("large"), "u", "v")
+
+
 def link_components(prints: DataFrame, bits: int = MOST_BITS, width: int | None = None) -> DataFrame:
     """doc_id, fp and component_id for rows of doc_id and fp (cut already, as they are read several times).
 
@@ -206,11 +268,7 @@ def link_components(prints: DataFrame, bits: int = MOST_BITS, width: int | None
     if bits > REACH:
         raise ValueError(f"the grid meets pairs up to {REACH} bits")
     nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    (n,) = scalars(nodes, F.count("*"))
-    width = width or (2 if n < FINE_GRID else 1)
-    filed = nodes.mapInArrow(_file(width), "cell long, fp long, node long")
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (50 if width == 2 else 66) // TASK_ROWS))
-    links = filed.repartition(parts, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_verify(bits), "u long, v long")
+    links = _filed(nodes, width).mapInArrow(_verify(bits), "u long, v long")
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")

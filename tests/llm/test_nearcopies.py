@@ -49,6 +49,28 @@ def test_all_links_are_found(spark, rows):
     assert [got[d] for d, _ in rows] == right and 40 < len(set(right)) < len(rows) - 60
 
 
+@pytest.mark.parametrize("path", ["fingerprints", "bands"])
+def test_fingerprints_meet_all_within_reach(spark, rows, sf, monkeypatch, path):
+    """The stage's fingerprints alone link all near copies up to 5 bits, the bands alone only those farther apart."""
+    from shardlake.llm import nearcopies, simhash
+
+    other = {"fingerprints": "_by_bands", "bands": "_by_prints"}[path]
+    whole = getattr(nearcopies, other, None)
+    monkeypatch.setattr(nearcopies, other, lambda nodes: whole(nodes).limit(0), raising=False)
+    rows = rows if path == "fingerprints" else rows[97:]  # large cells of bands are compared whole
+    prints, sets = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows], [slow_set(t) for _, t in rows]
+    root = [d for d, _ in rows]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            met = x == y or ((prints[i] ^ prints[j]).bit_count() <= 5) == (path == "fingerprints")
+            if met and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, sf).collect()} == set(root)
+    assert len(set(slow_components([d for d, _ in rows], [t for _, t in rows]))) < len(set(root)) < len(rows) - 20
+
+
 def test_a_cell_is_dealt_to_blocks(spark, rows, monkeypatch):
     from shardlake.llm import nearcopies
 

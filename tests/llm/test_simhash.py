@@ -70,6 +70,48 @@ def test_cells_across_batches(monkeypatch):
     assert got == {tuple(e) for e in _links(cell, fp.view(np.uint64), np.arange(400), 2).tolist()}
 
 
+def test_meetings_across_batches():
+    import pyarrow as pa
+
+    from shardlake.llm import simhash
+
+    rng = np.random.default_rng(6)
+    cell = np.sort(np.r_[rng.integers(0, 40, 200), np.full(150, 7), np.full(90, 40)])
+    fp = rng.integers(0, 1 << 12, len(cell))
+    fp[cell == 40] = np.r_[np.zeros(45, np.int64), np.full(20, 0xFFF), rng.integers(1 << 20, 1 << 40, 25)]
+    node = rng.permutation(len(cell))
+    near = lambda i, j: int(fp[i] ^ fp[j]).bit_count() <= 2
+    right = {tuple(sorted((int(node[i]), int(node[j])))) for i in range(len(cell)) for j in range(i) if cell[i] == cell[j] and near(i, j)}
+    for step, most in ((1, 1), (7, 30), (64, 100), (1000, 0)):
+        rows = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (cell, fp, node)], names=["cell", "fp", "node"]) for i in range(0, len(cell), step)]
+        got = [r for b in simhash._verify(2, simhash._meetings, ("large", "u", "v"), most)(iter(rows)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        pairs, groups = {(u, v) for large, u, v in got if not large}, {}
+        for large, u, v in got:
+            if large:
+                groups.setdefault(u, set()).add(v)
+        together = {tuple(sorted((u, v))) for g in groups.values() for u in g for v in g if u < v}
+        assert pairs <= right <= pairs | together and all(len(g) > simhash.SMALL_CELL for g in groups.values())
+        assert any(g == set(node[(cell == 40) & (fp == 0)].tolist()) for g in groups.values())
+
+
+def test_meetings_miss_nothing(spark):
+    from shardlake.llm.simhash import meetings
+
+    rng, prints = np.random.default_rng(9), []
+    for base in rng.integers(0, 2**63, 15).tolist():
+        for _ in range(20):
+            prints.append(base)
+            for bit in rng.integers(0, 64, rng.integers(0, 6)).tolist():
+                prints[-1] ^= 1 << bit
+    f = np.array(prints, np.uint64)
+    df = spark.createDataFrame(list(enumerate(f.view(np.int64).tolist())), "node long, fp long").select("fp", "node")
+    right = {(j, i) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]) <= 5).tolist()}
+    for width in (1, 2):
+        assert {(r.u, r.v) for r in meetings(df, width=width).collect() if not r.large} == right
+    with pytest.raises(ValueError):
+        meetings(df, 6)
+
+
 def test_spark_hash_is_the_same(spark):
     from pyspark.sql import functions as F
 
