@@ -127,8 +127,8 @@ def shard_by_bytes(documents: DataFrame, shards: int, seed: int = 7, range_rows:
         .withColumn("copy", F.explode(F.sequence("first", F.least(F.col("copies"), F.col("first") + COPIES) - 1)))
         .withColumn("at", F.col("bytes_before") + F.coalesce(F.col("bytes_in"), F.lit(0)) + F.col("copy") * F.col("size"))
         .withColumn("row", F.col("rows_before") + F.coalesce(F.col("row_in"), F.lit(0)) + F.col("copy"))
-        # whole numbers only: the middle of the record against the even share
-        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((2 * at + size) * {shards}) div (2 * {max(total, 1)})")).cast("int"))
+        # whole longs only: the middle of the record against the even share
+        .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((2 * at + size) * {shards}L) div {2 * max(total, 1)}L")).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "row")
     )
     at = cut(at)

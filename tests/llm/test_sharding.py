@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shardlake.llm.sharding import op4_sharding, place, shard_by_bytes
 
@@ -59,6 +60,13 @@ def test_odd_rows(spark):
     assert shard_by_bytes(df.limit(0), 3).count() == 0
 
 
+def test_more_bytes_than_an_int_holds_half_of(spark):
+    n, size = 1_100, 1_000_008  # 1.1e9 bytes: twice that is beyond 2^31
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), size - 8).alias("text"))
+    got = [(r.doc_id, r.size, r.shard) for r in shard_by_bytes(docs, 24).orderBy("doc_id").collect()]
+    assert got == [(i, size, (2 * i + 1) * 24 // (2 * n)) for i in range(n)]
+
+
 def test_place():
     keys, ids = np.array([1, 2, 2, 2, 3]), np.array([9, 1, 5, 9, 0])
     assert place(keys, ids, np.array([2, 2, 3]), np.array([2, 5, 1])).tolist() == [0, 0, 2, 2, 2]
