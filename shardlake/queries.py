@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -635,9 +636,11 @@ def _told(spark, rows: list[tuple]) -> DataFrame:
 )
 def chunks_by_id(spark, sf_dir):
     told: list[tuple] = []
+    parts: Counter[str] = Counter()
 
     def do(rows, shard):
-        told.append((shard.id, sum(t[0] == shard.id for t in told), len(rows), rows[0].c_custkey, rows[-1].c_custkey))
+        told.append((shard.id, parts[shard.id], len(rows), rows[0].c_custkey, rows[-1].c_custkey))
+        parts[shard.id] += 1
 
     chunk_by_id(sharded(spark, sf_dir, "customer", "c_custkey").query(), 100, do, "c_custkey")
     return _told(spark, told)

@@ -14,7 +14,7 @@ from shardlake.functions.routing import ConsistentHash, Modulo, Ranges, Ring, Ta
 from shardlake.operators.ops import Migrations, StepLog, on_all_shards
 from shardlake.operators.relations import Relation, colocated_join, with_children
 from shardlake.plans.context import Engine, ScatterDetector
-from shardlake.plans.query import placeable
+from shardlake.plans.query import ShardQuery, placeable
 from shardlake.sources.catalog import SHARD, CentralTable, Connections, Pool, ShardedTable, coordinator_sql, foreign_table_sql, quoted_name, unified_view_sql
 from shardlake.streaming.iterate import chunk_by_id, map_batches
 from shardlake.topology import Shard, ShardingError, ShardSet
@@ -104,6 +104,31 @@ def test_chunks_by_id_with_nulls_and_ties(spark):
     assert chunk_by_id(table.query(), 2, lambda part, s: stopped.append(part) or False, "k") is False and len(stopped) == 1
 
 
+def test_chunks_by_id_read_a_shard_as_often_however_many_they_are(spark, monkeypatch):
+    table = ShardedTable(Engine(THREE, Modulo()), "t", spark.range(600), shard_key="id")
+    passes, base = [], ShardQuery.base
+    monkeypatch.setattr(ShardQuery, "base", lambda q: passes.append(q) or base(q))
+    seen: list = []
+    assert chunk_by_id(table.query(), 2, lambda part, s: seen.append([r.id for r in part]))
+    assert len(seen) == 300 and len(passes) == 9  # all keys, those past the last one, rows without a key
+    assert [i for part in seen for i in part] == [i for k in range(3) for i in range(k, 600, 3)]
+
+
+def test_chunks_by_id_meet_rows_added_past_the_last_key(spark):
+    kept = {1, 2, 3, 4, 5}
+    one = ShardSet([Shard("shard-1")])
+    table = ShardedTable(Engine(one, Modulo()), "t", loaders={"shard-1": lambda: spark.createDataFrame([(i,) for i in sorted(kept)], "id long")})
+    seen: list = []
+
+    def do(part, shard):
+        seen.append([r.id for r in part])
+        kept.difference_update(seen[-1])
+        if part[0].id == 3:
+            kept.update({8, 9, 10})
+
+    assert chunk_by_id(table.query(), 2, do) and seen == [[1, 2], [3, 4], [5], [8, 9], [10]]
+
+
 def test_scattered_queries_are_remembered_where_asked_and_in_bounds():
     d = ScatterDetector()
     d.record("q", ["a", "b"])
