@@ -23,7 +23,7 @@ from .operators.paging import cursor_frame, page_frame
 from .operators.relations import Relation, colocated_join, has_many, has_one, parents_with_children, top_children, with_children, with_count, with_parent
 from .plans.context import Engine
 from .plans.query import ShardQuery, average, total
-from .sources.catalog import SHARD, CentralTable, Connections, ShardedTable, read_placed, rebalance, scratch
+from .sources.catalog import SHARD, CentralTable, Connections, ShardedTable, bucket_count, read_placed, rebalance, scratch
 from .streaming.iterate import chunk, chunk_by_id, lazy, map_batches
 from .topology import Shard, ShardSet
 
@@ -574,7 +574,8 @@ def _saved(spark, sf_dir, name: str, key: str, primary: str | None = None) -> Sh
     engine = Engine(SHARDS, ConsistentHash(), GROUPED)
     saved = f"shardlake_{name}_{zlib.crc32(sf_dir.encode()):08x}_{spark.sparkContext.applicationId.replace('-', '_')}"
     if not spark.catalog.tableExists(saved):
-        sharded(spark, sf_dir, name, key, primary, engine).save(read(spark, sf_dir, name), saved, scratch(spark, saved))
+        buckets = bucket_count(*(read(spark, sf_dir, t) for t in ("orders", "lineitem")))  # the whole group's, so that its tables meet
+        sharded(spark, sf_dir, name, key, primary, engine).save(read(spark, sf_dir, name), saved, scratch(spark, saved), buckets)
     return ShardedTable(engine, name, spark.table(saved), shard_key=key, primary_key=primary)
 
 

@@ -13,12 +13,15 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from ..functions.uuid7 import UUID_PATTERN, decoded_shard, looks_like_uuid
 from ..plans.context import Engine
 from ..topology import PoolExhausted, Shard, ShardingError, ShardSet
 
 SHARD = "_shard_id"
+#: Bytes of rows that a bucket of a saved table should hold; buckets at least and at most (Spark allows 100,000).
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 1 << 16
 log = logging.getLogger(__name__)
 
 
@@ -111,11 +114,13 @@ class ShardedTable:
         # Files of a shard side by side; a large shard's rows are split into tasks of the advisory size.
         placed.hint("rebalance", SHARD).write.mode(mode).partitionBy(SHARD).parquet(path)
 
-    def save(self, frame: DataFrame, name: str, path: str, buckets: int = 8, mode: str = "overwrite") -> None:
+    def save(self, frame: DataFrame, name: str, path: str, buckets: int | None = None, mode: str = "overwrite") -> None:
         """Place rows and save them as table ``name``: a folder for each shard, bucketed and sorted by the shard key.
 
-        Tables of a group that are saved with equally many buckets meet without a shuffle.
+        Tables of a group that are saved with equally many buckets meet without a shuffle: ``bucket_count`` of
+        all their frames. Without a number it is that of this frame.
         """
+        buckets = buckets or bucket_count(frame)
         placed = frame.withColumn(SHARD, self.placement(frame)).repartition(buckets, self.shard_key)
         placed.write.mode(mode).partitionBy(SHARD).bucketBy(buckets, self.shard_key).sortBy(self.shard_key).option("path", path).saveAsTable(name)
 
@@ -165,6 +170,25 @@ class CentralTable:
         return self.rows().select(*columns) if columns else self.rows()
 
 
+def bucket_count(*frames: DataFrame) -> int:
+    """Buckets for tables that are to meet: so many that one of the largest table holds about ``BUCKET_BYTES``.
+
+    A task sorts a bucket, so its memory doesn't grow with the tables, save for a key that has more rows than that.
+    """
+    most, buckets = max(_bytes_of(f) for f in frames), LEAST_BUCKETS
+    while buckets < MOST_BUCKETS and buckets * BUCKET_BYTES < most:
+        buckets *= 2
+    return buckets
+
+
+def _bytes_of(frame: DataFrame) -> int:
+    """Bytes of the rows as Spark sorts them: eight for each field, and what texts and nested values have besides."""
+    name = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    wide = [name(f) if isinstance(f.dataType, BinaryType) else name(f).cast("string") for f in frame.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    rows, *held = frame.agg(F.count("*"), *(F.sum(F.octet_length(c).cast("long")) for c in wide)).first()
+    return rows * 8 * (len(frame.columns) + 1) + sum(n or 0 for n in held)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder that driver and executors share: under the checkpoint folder, or a temporary one in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,6 +15,8 @@ from shardlake.operators.ops import Migrations, StepLog, on_all_shards
 from shardlake.operators.relations import Relation, colocated_join, with_children
 from shardlake.plans.context import Engine, ScatterDetector
 from shardlake.plans.query import ShardQuery, placeable
+from shardlake.queries import QUERIES
+from shardlake.sources import catalog
 from shardlake.sources.catalog import SHARD, CentralTable, Connections, Pool, ShardedTable, coordinator_sql, foreign_table_sql, quoted_name, unified_view_sql
 from shardlake.streaming.iterate import chunk_by_id, map_batches
 from shardlake.topology import Shard, ShardingError, ShardSet
@@ -80,6 +82,21 @@ def test_saved_tables_of_a_group_meet_without_a_shuffle(spark, saved):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_saved_tables_have_buckets_by_the_larger_ones_bytes(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "BUCKET_BYTES", 1 << 15)
+    assert catalog.bucket_count(spark.range(100)) == 8 and catalog.bucket_count(spark.range(100), spark.range(40_000)) == 32
+    assert catalog.bucket_count(spark.range(100).select(F.repeat(F.lit("a"), 10_000).alias("a.`b"))) == 32
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = QUERIES["colocated_join_saved"](spark, f"{sf}/.")  # another path, so that no table is saved already
+        plan = plan_of(joined)
+        assert plan.count("SelectedBucketsCount: 32 out of 32") == 2 and "Exchange hashpartitioning(o_orderkey" not in plan and "Exchange hashpartitioning(l_orderkey" not in plan
+        assert sum(r.n for r in joined.collect()) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_pinned_key_reads_one_folder_and_one_bucket(spark, saved):
     rows = saved["l"].query().where("k", "77").base()
     plan = rows._jdf.queryExecution().executedPlan()
